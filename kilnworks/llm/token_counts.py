@@ -72,6 +72,15 @@ class PieceCounter:
             if not (np.diff(n, axis=1) == 1).all():
                 self.period = 0
 
+    _of: dict[str, PieceCounter] = {}
+
+    @classmethod
+    def of(cls, path: str) -> PieceCounter:
+        """This process's own, so that the tasks of a reused Python worker share the kept counts."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
     def pairs_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two neighbours make, n if none."""
         key = left * (self.n + 1) + right
@@ -181,7 +190,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text: str
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_tokens long, over_limit boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(model_path)
+        counter = PieceCounter.of(model_path)
         for batch in bt.pieces(batches, "__text"):
             n_bytes, n = counter.counts(batch.column("__text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], [*keep, *own])

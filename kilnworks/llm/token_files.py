@@ -94,7 +94,7 @@ class Member:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids with the end id after each text, ids of each) for pieces of the batches; the column is __text."""
-    bpe = CachedBpe(path)
+    bpe = CachedBpe.of(path)
     for batch in bt.pieces(batches, "__text"):
         ids, n = bpe.ids(batch.column("__text"))
         yield batch, np.insert(ids, np.cumsum(n), np.uint32(end)), n + 1

@@ -40,10 +40,19 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class CachedBpe:
     """ids(texts) as Tokenizer.encode_batch(texts, add_special_tokens=False) gives them.
 
-    New parts go through the library; their ids are kept by a 64-bit hash, for at most ``room`` parts. A text with one of
-    the added tokens' strings goes through the library whole.
+    New parts go through the library; their ids are kept by a 64-bit hash, for at most ``room`` parts: when that is full,
+    those that came only once go. A text with one of the added tokens' strings goes through the library whole.
     """
 
+    _of: dict[str, CachedBpe] = {}
+
+    @classmethod
+    def of(cls, path: str) -> CachedBpe:
+        """This process's own, so that the tasks of a reused Python worker share a cache."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
     def __init__(self, path: str, room: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -60,8 +69,24 @@ class CachedBpe:
         self.slots = np.empty(0, dtype="int64")
         self.data = np.empty(1 << 20, dtype="uint32")
         self.starts = np.zeros(1 << 16, dtype="int64")
+        self.again = np.zeros(1 << 16, dtype=bool)
         self.n, self.used = 0, 0
 
+    def _shrink(self) -> None:
+        """Keep the parts that came again since they were learned; if those are too many, none."""
+        stay = self.again[self.slots]
+        if 2 * stay.sum() > self.room:
+            return self._reset()
+        keys, slots = self.keys[stay], self.slots[stay]
+        begin, size = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        self._reset()
+        self.keys, self.slots, self.data = keys, np.arange(len(keys)), np.concatenate([data, self.data])
+        self.starts = np.concatenate([upto, self.starts])
+        self.again = np.zeros(len(self.starts), dtype=bool)
+        self.n, self.used = len(keys), int(upto[-1])
+
     def _encode(self, new: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and counts of these parts. Plain ones share calls: a line end after each is a token of its own."""
         ids, size = [], np.zeros(len(new), dtype="int64")
@@ -90,6 +115,7 @@ class CachedBpe:
         ids, size, order = self._encode(new, plain)
         while len(self.starts) < self.n + len(new) + 1:
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         while len(self.data) < self.used + len(ids):
             self.data = np.concatenate([self.data, np.empty_like(self.data)])
         self.data[self.used : self.used + len(ids)] = ids
@@ -118,9 +144,12 @@ class CachedBpe:
         ends = np.append(starts[1:], len(data))
         keys, first, back = np.unique(bt.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) + len(keys) > max(self.room, 2 * len(keys)):
-            self._reset()
+            self._shrink()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        missing = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), dtype=bool)
+        new = np.flatnonzero(missing)
+        if len(new) < len(keys):
+            self.again[self.slots[at[~missing]]] = True
         if len(new):
             odd = np.concatenate([[0], np.cumsum(~PLAIN[data])])
             a, b = starts[first[new]], ends[first[new]]
