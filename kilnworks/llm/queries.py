@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import fingerprints, media, packing, token_counts, token_files, toxicity
+from kilnworks.llm import fingerprints, media, mixing, packing, secrets, token_counts, token_files, toxicity
 from kilnworks.llm.workspace import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_tokens(documents(spark, sf_dir).select("doc_id", "text"), BYTES, end=2, vocabulary=BYTES_IDS)
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -40,12 +44,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_stored(media.store_texts(documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op4_token_files, op7_packing, op8_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_token_files, op7_packing, op8_toxicity, op9_secrets, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ from kilnworks.llm import bytestext as bt
 #: Labelled rows that the model is fitted on, at most: those of the least hashes of doc_id.
 SAMPLE = 12_000
 #: Hashed features, passes, and the optimiser's alpha, beta, lambda 1 and lambda 2.
-DIMS, PASSES, ALPHA, BETA, L1, L2 = 1 << 20, 3, 0.2, 1.0, 3.0, 1.0
+DIMS, PASSES, ALPHA, BETA, L1, L2 = 1 << 20, 5, 1.0, 1.0, 3.0, 1.0
 THRESHOLD = 0.3
 
 #: Words are runs of ASCII letters and digits and of all bytes from 0x80 on, in lower case.
