@@ -149,7 +149,8 @@ def mix_pieces(sizes: DataFrame, sources: DataFrame, seed: int) -> tuple[DataFra
     blocks = docs.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), last)).alias("block"))
     slots = draw_slots(sources, shards, seed)
     at = F.col("block") * BLOCK
-    pieces = blocks.join(slots, ["sid", "block"]).select(
+    # a few rows of draws become all slots, which no size estimate foresees: never broadcast them
+    pieces = blocks.join(slots.hint("merge"), ["sid", "block"]).select(
         "sid", "start", "epoch", "block", F.greatest(F.lit(0), at - F.col("start")).alias("a"), (F.least(F.col("start") + F.col("size"), at + F.col("take")) - F.col("start")).alias("b")
     )
     return docs, pieces.where("b > a")
