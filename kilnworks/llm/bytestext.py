@@ -108,11 +108,20 @@ def ngrams(h: np.ndarray, k: int) -> np.ndarray:
     if len(h) < k:
         return np.empty(0, "uint64")
     with np.errstate(over="ignore"):
-        total, p = np.zeros(len(h) - k + 1, dtype="uint64"), STEP
-        for j in range(k):
-            total += h[j : j + len(total)] * p
-            p = p * STEP
-        return mix(total)
+        total, done = None, 0
+        part, width, p = h, 1, STEP  # part[i] hashes h[i : i + width]; p is STEP ** width
+        while True:
+            if k & width:
+                if total is None:
+                    total = part
+                else:
+                    n = len(h) - done - width + 1
+                    total = total[:n] * p + part[done : done + n]
+                done += width
+            if done == k:
+                return mix(total[: len(h) - k + 1])
+            part = part[: len(part) - width] * p + part[width:]
+            width, p = 2 * width, p * p
 
 
 def doc_of(counts: np.ndarray) -> np.ndarray:
