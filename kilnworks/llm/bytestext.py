@@ -90,17 +90,22 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if len(starts) == 0:
-        return np.empty(0, "uint64")
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; worked through in stretches of about so many bytes, which bounds its memory."""
     size = ends - starts
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    rank = at - np.repeat(starts, size)
+    out = np.empty(len(starts), dtype="uint64")
+    upto = np.cumsum(size)
+    at = 0
     with np.errstate(over="ignore"):
-        value = (data[at].astype("uint64") + np.uint64(1)) * powers(int(size.max()) + 1)[rank + 1]
-        total = np.add.reduceat(value, np.concatenate([[0], np.cumsum(size)[:-1]]))
-        return mix(total + size.astype("uint64") * STEP)
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + stretch)))
+            n = size[at:to]
+            first = np.cumsum(n) - n
+            rank = np.arange(int(n.sum())) - np.repeat(first, n)
+            value = (data[np.repeat(starts[at:to], n) + rank].astype("uint64") + np.uint64(1)) * powers(int(n.max()) + 1)[rank + 1]
+            out[at:to] = mix(np.add.reduceat(value, first) + n.astype("uint64") * STEP)
+            at = to
+    return out
 
 
 def ngrams(h: np.ndarray, k: int) -> np.ndarray:

@@ -33,11 +33,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def common_strings(docs: DataFrame, inner: int) -> np.ndarray:
-    """Hashes of word strings that many documents hold, from a bounded sample: they come last in the order of minimizers.
+    """Hashes of word strings that many documents hold, from about LOOKED_AT of them: they come last in the order of minimizers.
 
     This only balances the shuffle. Any order of minimizers gives the same result, as all tasks use the same one.
     """
-    some = docs.select("__text").limit(LOOKED_AT)
+    some = docs.select("__text").sample(fraction=min(1.0, LOOKED_AT / max(1, docs.count())), seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.pieces(batches, "__text"):
@@ -51,7 +51,7 @@ def common_strings(docs: DataFrame, inner: int) -> np.ndarray:
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
             found, n = np.unique(h[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found[n > 1].view("int64")), pa.array(n[n > 1])], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view("int64")), pa.array(n)], ["h", "n"])
 
     counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, int(COMMON * LOOKED_AT)))
     return np.sort(np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(1 << 16).collect()], dtype="int64").view("uint64"))
@@ -65,7 +65,7 @@ def paths(docs: DataFrame, common: np.ndarray, window: int, inner: int) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.pieces(batches, "__text", 8 << 20):
+        for batch in bt.pieces(batches, "__text"):
             ord_, th = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
             order = np.lexsort((th, ord_))
             texts = batch.column("__text").take(pa.array(order))
