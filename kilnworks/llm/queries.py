@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import fingerprints, media, mixing, packing, secrets, substrings, token_counts, token_files, toxicity
+from kilnworks.llm import fingerprints, media, mixing, near_dups, packing, secrets, substrings, token_counts, token_files, toxicity
 from kilnworks.llm.workspace import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -58,7 +62,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_token_files, op6_substrings, op7_packing, op8_toxicity, op9_secrets, op10_media)}
+    return {f.__name__: f for f in (op1_token_counts, op2_fingerprints, op3_mixing, op4_token_files, op5_near_dups, op6_substrings, op7_packing, op8_toxicity, op9_secrets, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
