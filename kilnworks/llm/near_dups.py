@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnworks.llm import bytestext as bt
@@ -77,8 +77,35 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view("int64")
 
 
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """Four bits of each register, 16 registers in a long."""
+    d, m = registers.shape
+    four = (registers & np.uint64(15)).reshape(d, m // 16, 16) << (4 * np.arange(16, dtype="uint64"))
+    return np.bitwise_or.reduce(four, axis=2).view("int64")
+
+
+def plausible(a: str, b: str, longs: int) -> Column:
+    """Do two sketches differ in no more registers than one pair in 4,000 at the least similarity would?
+
+    Registers agree with the similarity, and by chance with a sixteenth of the rest.
+    """
+    m = 16 * longs
+    agree = ALIKE + (1 - ALIKE) / 16
+    most = int(m * (1 - agree) + 3.5 * (m * agree * (1 - agree)) ** 0.5)
+
+    def differ(i: int) -> Column:
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    total = differ(0)
+    for i in range(1, longs):
+        total = total + differ(i)
+    return total <= most
+
+
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """ord (the id, null last), node (128 bits of the text's SHA-256), n (distinct shingles) and band keys of each row."""
+    """ord (the id, null last), node (128 bits of the text's SHA-256), n (distinct shingles), band keys and sketch of each row."""
     own = docs.select(ws.id_order().alias("ord"), F.coalesce("text", F.lit("")).alias("__text"))
     own = own.select("ord", F.unhex(F.substring(F.sha2("__text", 256), 1, 32)).alias("node"), "__text")
 
@@ -87,22 +114,23 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             d = batch.num_rows
             doc, h, count = shingles(*bt.flat(batch.column("__text")))
             n = np.bincount(doc, minlength=d)
-            keys = band_keys(prob_minhash(doc, h, 1 + np.log(count), d, bands * rows), bands, rows)
+            registers = prob_minhash(doc, h, 1 + np.log(count), d, bands * rows)
+            keys, bits = band_keys(registers, bands, rows), sketches(registers)
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("node"), pa.array(n, pa.int64()), lists], ["ord", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("node"), pa.array(n, pa.int64()), lists, pa.array(list(bits), pa.list_(pa.int64()))], ["ord", "node", "n", "bands", "sketch"])
 
-    return own.mapInArrow(run, "ord long, node binary, n long, bands array<long>")
+    return own.mapInArrow(run, "ord long, node binary, n long, bands array<long>, sketch array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) whose texts' shingle sets have a Jaccard similarity of ALIKE or more.
-
-    Only texts of documents in pairs move: once by node, once more for each pair, to the task of its first document.
-    """
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of each of these nodes, once."""
     texts = docs.select(F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = ws.cut(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    return ws.cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) whose texts' shingle sets have a Jaccard similarity of ALIKE or more."""
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
 
@@ -130,46 +158,58 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def heads_of(open_rows: DataFrame, heads: int) -> DataFrame:
-    """key, head and head_n: up to ``heads`` of each bucket's open rows (key, node, n).
+    """key and head (node, n, root, sketch): up to ``heads`` of each bucket's open rows.
 
-    The i-th head is the least by a hash of bucket, node and i: a minimum, which is taken before the shuffle, so a large bucket
-    never meets in one task.
+    The i-th head is the least by a hash of node and i: a minimum, which is taken before the shuffle, so a large bucket never
+    meets in one task. Buckets of the same documents mostly get the same heads, whose pairs are then compared once.
     """
-    turn = [F.min(F.struct(F.xxhash64("key", "node", F.lit(i)).alias("turn"), "node", "n")) for i in range(heads)]
-    return open_rows.groupBy("key").agg(F.array(*turn).alias("h")).select("key", F.explode("h").alias("h")).select("key", F.col("h.node").alias("head"), F.col("h.n").alias("head_n")).distinct()
+    turn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("turn"), "node", "n", "root", "sketch")) for i in range(heads)]
+    h = open_rows.groupBy("key").agg(F.array(*turn).alias("h")).select("key", F.explode("h").alias("h"))
+    return h.select("key", "h.node", "h.n", "h.root", "h.sketch").distinct()
 
 
-def candidate_pairs(members: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the heads of each bucket with all its members whose sizes allow the similarity."""
-    both = members.join(heads, "key").where("node <> head").where(F.least("n", "head_n") >= ALIKE * F.greatest("n", "head_n"))
-    return both.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+def candidate_pairs(members: DataFrame, heads: DataFrame, longs: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity."""
+    m, h = members.alias("m"), heads.alias("h")
+    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.root") != F.col("h.root"))
+    near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", longs)
+    return m.join(h, near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
 
 
-def links(sigs: DataFrame, docs: DataFrame, most_heads: int = 32) -> DataFrame:
-    """Verified links (a, b) between different texts.
+def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with root: the group of each node, itself if it has no link."""
+    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    In each bucket one member, the head, is compared with all others. Members that are no near-duplicates of a head of their
-    bucket stay open; from them the next heads come, twice as many each round (up to ``most_heads`` at once), until no member
-    of any bucket is open. So a bucket of one group costs a pair for each member, and only a mixed one costs more.
+
+def link_roots(sigs: DataFrame, docs: DataFrame, longs: int, rounds: tuple[int, ...] = (1, 4)) -> DataFrame:
+    """node, root: the groups that verified links make, for nodes with a link.
+
+    In each bucket a head is compared with all other members, then four heads of those outside the first one's group, so a
+    bucket of one group costs a pair for each member. Members that are still outside the groups of their bucket's heads are
+    compared, by their sketches, with all members outside their own group.
     """
-    one = sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = one.select("node", "n", F.explode("bands").alias("key"))
+    one = sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    rows = one.select("node", "n", "sketch", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = ws.cut(rows.join(shared, "key"), "members")
-    found, done, heads, open_rows = None, None, 1, members
-    while True:
-        top = ws.cut(heads_of(open_rows, heads), "heads")
-        pairs = candidate_pairs(members, top)
+    members = ws.cut(rows.join(shared, "key").withColumn("root", F.col("node")), "members")
+    texts = texts_of(members.select("node").distinct(), docs)
+    columns = ["key", "node", "n", "root", "sketch"]
+    found, done, open_rows = None, None, members
+    for heads in (*rounds, None):
+        top = ws.cut(heads_of(open_rows, heads), "heads") if heads else open_rows
+        pairs = candidate_pairs(members, top, longs)
         pairs = ws.cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        new = ws.cut(verified(pairs, docs), "links")
+        new = ws.cut(verified(pairs, texts), "links")
         found, done = (new, pairs) if found is None else (found.unionByName(new), done.unionByName(pairs))
-        both_ways = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = open_rows.join(top, "key").join(both_ways, (F.col("a") == F.col("head")) & (F.col("b") == F.col("node"))).select("key", "node")
-        settled = near.unionByName(top.select("key", F.col("head").alias("node"))).distinct()
-        open_rows = ws.cut(open_rows.join(settled, ["key", "node"], "left_anti"), "open")
+        roots = components(found)
+        if heads is None:
+            return roots
+        seen = grouped(top.select("key", "node"), roots).select("key", "root").distinct()
+        open_rows = ws.cut(grouped(open_rows, roots).join(seen, ["key", "root"], "left_anti").select(columns), "open")
         if open_rows.isEmpty():
-            return found
-        heads = min(2 * heads, most_heads)
+            return roots
+        members = ws.cut(grouped(members, roots).join(open_rows.select("key").distinct(), "key", "left_semi").select(columns), "members")
+    raise AssertionError
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,13 +231,15 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return ws.cut(stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(ord and node of each row, node and class_id of each text); class_id is the least ord of the class."""
+    ws.small_batches(docs.sparkSession)
     sigs = ws.cut(signed(docs, bands, rows), "signatures")
-    roots = ws.cut(components(links(sigs, docs)), "roots")
+    roots = link_roots(sigs, docs, bands * rows // 16)
     of = sigs.groupBy("node").agg(F.min("ord").alias("ord")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("ord").alias("class_id"))
     return sigs.select("ord", "node"), of.join(least, "root").select("node", "class_id")

@@ -65,7 +65,7 @@ def paths(docs: DataFrame, common: np.ndarray, window: int, inner: int) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bt.pieces(batches, "__text"):
+        for batch in bt.pieces(batches, "__text", 1 << 20):
             ord_, th = batch.column("ord").to_numpy(), batch.column("th").to_numpy()
             order = np.lexsort((th, ord_))
             texts = batch.column("__text").take(pa.array(order))
@@ -184,6 +184,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, inner: int = INNER)
     document before it. A null text has no words, a null doc_id comes last, several texts of one id follow in the order of their
     hashes, and rows of one id and text are one document, each with the same result. Windows are judged on the input.
     """
+    ws.small_batches(docs.sparkSession)
     own = keyed(docs)
     common = common_strings(own, inner)
     spans = ws.cut(repeated(paths(own, common, window, inner)), "repeats")

@@ -73,6 +73,13 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches to Python hold this much at most, unless the session asks for less: long texts fill memory on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("-1", "64m", "67108864", "67108864b"):
+        spark.conf.set(key, size)
+
+
 def id_order(col: str = "doc_id"):
     """Sort key of ids as a long: a null id comes last."""
     return F.coalesce(F.col(col).cast("long"), F.lit(MAX_ID))
