@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from kilnworks.llm import bytestext as bt
 from kilnworks.llm import workspace as ws
 
-#: Words in a shingle, least similarity, bands and registers in each: a pair at 0.8 is missed once in 17,000.
-SHINGLE, ALIKE, BANDS, ROWS = 5, 0.8, 32, 6
+#: Words in a shingle, least similarity, bands and registers in each: a pair at 0.8 is missed once in 17,000. Registers in all:
+#: those beyond the bands only sharpen the sketches.
+SHINGLE, ALIKE, BANDS, ROWS, REGISTERS = 5, 0.8, 32, 6, 384
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,8 +115,8 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             d = batch.num_rows
             doc, h, count = shingles(*bt.flat(batch.column("__text")))
             n = np.bincount(doc, minlength=d)
-            registers = prob_minhash(doc, h, 1 + np.log(count), d, bands * rows)
-            keys, bits = band_keys(registers, bands, rows), sketches(registers)
+            registers = prob_minhash(doc, h, 1 + np.log(count), d, REGISTERS)
+            keys, bits = band_keys(registers[:, : bands * rows], bands, rows), sketches(registers)
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("ord"), batch.column("node"), pa.array(n, pa.int64()), lists, pa.array(list(bits), pa.list_(pa.int64()))], ["ord", "node", "n", "bands", "sketch"])
@@ -168,11 +169,11 @@ def heads_of(open_rows: DataFrame, heads: int) -> DataFrame:
     return h.select("key", "h.node", "h.n", "h.root", "h.sketch").distinct()
 
 
-def candidate_pairs(members: DataFrame, heads: DataFrame, longs: int) -> DataFrame:
+def candidate_pairs(members: DataFrame, heads: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity."""
     m, h = members.alias("m"), heads.alias("h")
     near = (F.col("m.key") == F.col("h.key")) & (F.col("m.root") != F.col("h.root"))
-    near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", longs)
+    near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", REGISTERS // 16)
     return m.join(h, near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
 
 
@@ -181,7 +182,7 @@ def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def link_roots(sigs: DataFrame, docs: DataFrame, longs: int, rounds: tuple[int, ...] = (1, 4)) -> DataFrame:
+def link_roots(sigs: DataFrame, docs: DataFrame, rounds: tuple[int, ...] = (1, 4)) -> DataFrame:
     """node, root: the groups that verified links make, for nodes with a link.
 
     In each bucket a head is compared with all other members, then four heads of those outside the first one's group, so a
@@ -189,15 +190,17 @@ def link_roots(sigs: DataFrame, docs: DataFrame, longs: int, rounds: tuple[int,
     compared, by their sketches, with all members outside their own group.
     """
     one = sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    rows = one.select("node", "n", "sketch", F.explode("bands").alias("key"))
+    one = ws.cut(one, "nodes")
+    rows = one.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = ws.cut(rows.join(shared, "key").withColumn("root", F.col("node")), "members")
+    members = ws.cut(rows.join(shared.hint("merge"), "key"), "shared").join(one.select("node", "n", "sketch", F.col("node").alias("root")).hint("merge"), "node")
+    members = ws.cut(members, "members")
     texts = texts_of(members.select("node").distinct(), docs)
     columns = ["key", "node", "n", "root", "sketch"]
     found, done, open_rows = None, None, members
     for heads in (*rounds, None):
         top = ws.cut(heads_of(open_rows, heads), "heads") if heads else open_rows
-        pairs = candidate_pairs(members, top, longs)
+        pairs = candidate_pairs(members, top)
         pairs = ws.cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         new = ws.cut(verified(pairs, texts), "links")
         found, done = (new, pairs) if found is None else (found.unionByName(new), done.unionByName(pairs))
@@ -239,7 +242,7 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     """(ord and node of each row, node and class_id of each text); class_id is the least ord of the class."""
     ws.small_batches(docs.sparkSession)
     sigs = ws.cut(signed(docs, bands, rows), "signatures")
-    roots = link_roots(sigs, docs, bands * rows // 16)
+    roots = link_roots(sigs, docs)
     of = sigs.groupBy("node").agg(F.min("ord").alias("ord")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("ord").alias("class_id"))
     return sigs.select("ord", "node"), of.join(least, "root").select("node", "class_id")
