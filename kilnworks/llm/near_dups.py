@@ -169,11 +169,23 @@ def heads_of(open_rows: DataFrame, heads: int) -> DataFrame:
     return h.select("key", "h.node", "h.n", "h.root", "h.sketch").distinct()
 
 
-def candidate_pairs(members: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity."""
+def with_keys(rows: DataFrame) -> DataFrame:
+    """rows with keys: all buckets of the row's node among them, a band's at most each."""
+    return rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+
+
+def candidate_pairs(members: DataFrame, heads: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity.
+
+    once: a pair that meets in several buckets is made in the first of them alone.
+    """
+    if once:
+        members, heads = with_keys(members), with_keys(heads)
     m, h = members.alias("m"), heads.alias("h")
     near = (F.col("m.key") == F.col("h.key")) & (F.col("m.root") != F.col("h.root"))
     near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", REGISTERS // 16)
+    if once:
+        near &= F.col("m.key") == F.array_min(F.array_intersect("m.keys", "h.keys"))
     return m.join(h, near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
 
 
@@ -200,7 +212,7 @@ def link_roots(sigs: DataFrame, docs: DataFrame, rounds: tuple[int, ...] = (1, 4
     found, done, open_rows = None, None, members
     for heads in (*rounds, None):
         top = ws.cut(heads_of(open_rows, heads), "heads") if heads else open_rows
-        pairs = candidate_pairs(members, top)
+        pairs = candidate_pairs(members, top, once=heads is None)
         pairs = ws.cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         new = ws.cut(verified(pairs, texts), "links")
         found, done = (new, pairs) if found is None else (found.unionByName(new), done.unionByName(pairs))
