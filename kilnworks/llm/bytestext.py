@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,28 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that the column has about ``most`` bytes in each (one long text may have more)."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        ends = np.cumsum(lengths(batch.column(column)))
-        at = 0
-        while at < batch.num_rows:
-            base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ends = np.cumsum(lengths(batch.column(column)))
+            at = 0
+            while at < batch.num_rows:
+                base = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker lives on after its task, and shares the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        return
 
 
 def lengths(texts: pa.Array) -> np.ndarray:

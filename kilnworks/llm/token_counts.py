@@ -27,7 +27,7 @@ class PieceCounter:
     64-bit hash, for at most ``room`` of them.
     """
 
-    def __init__(self, path: str, room: int = 2_000_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -53,7 +53,7 @@ class CachedBpe:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def __init__(self, path: str, room: int = 1_500_000):
+    def __init__(self, path: str, room: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
