@@ -54,7 +54,7 @@ def table_digest(df: DataFrame, buckets: int = 4096) -> str:
 def engine_digest(spark: SparkSession, body) -> str:
     """What runs a node: versions, settings that change meaning, and the source of a callable body."""
     source = inspect.getsource(body) if callable(body) else "sql"
-    facts = [VERSION, pyspark.__version__, spark.version, sys.version.split()[0], *(f"{k}={spark.conf.get(k, '')}" for k in SETTINGS), source]
+    facts = [VERSION, pyspark.__version__, spark.version, sys.version.split()[0], *(f"{k}={spark.conf.get(k)}" for k in SETTINGS), source]
     return hashlib.sha256("\n".join(facts).encode()).hexdigest()
 
 
