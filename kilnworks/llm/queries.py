@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import fingerprints, media, mixing, near_dups, packing, secrets, substrings, token_counts, token_files, toxicity
+from kilnworks.llm import fingerprints, media, mixing, near_dups, oracle, packing, secrets, substrings, token_counts, token_files, toxicity
 from kilnworks.llm.workspace import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
