@@ -130,6 +130,33 @@ def topo_order(s, d):
     return graph.topological_orders(e.select(F.col("conv_id").alias("graph"), "name", F.lag("name").over(w).alias("dep"))).select("graph", "pos", "name")
 
 
+_REPLIES = "SELECT conv_id || '/' || lpad(CAST(turn AS VARCHAR), 6, '0') AS name, lag(conv_id || '/' || lpad(CAST(turn AS VARCHAR), 6, '0')) OVER (PARTITION BY conv_id ORDER BY turn) AS dep FROM conversations"
+
+
+def replies(s, d):
+    """Edges (name, dep) of turns, each of which waits for the turn before it in its conversation."""
+    name = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.lpad(F.col("turn").cast("string"), 6, "0"))
+    own = table(s, d, "conversations").select("conv_id", "turn", name.alias("name"))
+    return own.select("name", F.lag("name").over(W.partitionBy("conv_id").orderBy("turn")).alias("dep"))
+
+
+@query(f"WITH e AS ({_REPLIES}) SELECT a.name, coalesce(a.dep, '') AS deps, coalesce(b.name, '') AS dependents FROM e a LEFT JOIN e b ON b.dep = a.name")
+def adjacent_turns(s, d):
+    joined = lambda c: F.concat_ws(",", c).alias(c)
+    return graph.adjacency(replies(s, d)).select("name", joined("deps"), joined("dependents"))
+
+
+@query("""SELECT conv_id, row_number() OVER own - 1 AS pos, printf('%3d. ', row_number() OVER own) || name || CASE WHEN lag(name) OVER own IS NULL THEN '' ELSE '  (after ' || lag(name) OVER own || ')' END AS line
+FROM (SELECT conv_id, turn, conv_id || '/' || lpad(CAST(turn AS VARCHAR), 6, '0') AS name FROM conversations) WINDOW own AS (PARTITION BY conv_id ORDER BY turn)""")
+def order_listing(s, d):
+    edges = replies(s, d)
+    conv = F.element_at(F.split("name", "/"), 1).cast(table(s, d, "conversations").schema["conv_id"].dataType)
+    order = graph.topological_orders(edges.withColumn("graph", conv)).select("graph", "pos", "name")
+    lines = graph.listing(order.select("pos", "name"), edges)
+    name = F.regexp_extract("line", r"^ *[0-9]+\. ([^ ]+)", 1)
+    return lines.join(order.select("graph", "name").distinct(), name == F.col("name")).select(F.col("graph").alias("conv_id"), "pos", "line")
+
+
 @query("""WITH c AS (SELECT o_orderkey AS name, 'c' || o_custkey AS dep, o_custkey % 7 AS finish, 1 AS depth FROM orders UNION ALL SELECT DISTINCT l_orderkey, 'p' || l_partkey, l_partkey % 7, 1 + l_partkey % 2 FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
 SELECT name, dep, finish, depth FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY finish DESC, depth DESC, dep) AS r FROM c) WHERE r = 1""")
 def critical_step(s, d):
