@@ -178,6 +178,23 @@ def test_incremental_builds(spark, tmp_path, sources):
     assert out["evicted"] > 0 and out["bytes_after"] <= 1 and store.blobs(spark).count() == 0
 
 
+def test_put_computes_a_table_once(spark, tmp_path):
+    store, seen = Store(str(tmp_path / "store")), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(10).mapInPandas(counted, "id long")
+    for times in (1, 2):  # a new table, then one that is there
+        found, changed = store.put("abc", {"x": df})
+        assert seen.value == 10 * times and changed == []
+    assert store.intact(spark, found["x"]) and sorted(os.listdir(store.root)) == ["ac", "cas"]
+    empty, changed = store.put("abc", {"x": spark.range(0)})
+    assert changed == ["x"] and store.restore(spark, empty)["x"].columns == ["id"]
+
+
 def test_failures_and_isolation(spark, sources):
     nodes = [*pipeline_nodes("SELECT broken FROM docs"), Node("other", "SELECT count(*) AS n FROM docs", ["docs"], ["n"])]
     _, results = Engine(spark).build(nodes, sources, keep_going=True)
