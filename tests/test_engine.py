@@ -2,6 +2,7 @@ import itertools
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,6 +196,21 @@ def test_put_computes_a_table_once(spark, tmp_path):
     assert changed == ["x"] and store.restore(spark, empty)["x"].columns == ["id"]
 
 
+def test_equal_tables_meet_in_the_store(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    d = store.put_blob(spark.range(5))
+    before = sorted(os.listdir(store.blob(d)))
+    late = str(tmp_path / "store" / ".tmp-late")
+    spark.range(5).write.parquet(late)
+    store._publish(late, d)  # another builder was first
+    assert sorted(os.listdir(store.blob(d))) == before and not os.path.exists(late)
+    for name, age in (("old", 2 * 86400), ("young", 60)):
+        os.makedirs(path := os.path.join(store.root, f".tmp-{name}"))
+        os.utime(path, (time.time() - age,) * 2)
+    store.collect(spark)
+    assert [n for n in os.listdir(store.root) if n.startswith(".tmp-")] == [".tmp-young"]
+
+
 def test_failures_and_isolation(spark, sources):
     nodes = [*pipeline_nodes("SELECT broken FROM docs"), Node("other", "SELECT count(*) AS n FROM docs", ["docs"], ["n"])]
     _, results = Engine(spark).build(nodes, sources, keep_going=True)
