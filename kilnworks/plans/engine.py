@@ -95,7 +95,10 @@ class Engine:
         by = {n.name: n for n in nodes}
         order = graph.smallest_order({n.name: n.deps for n in nodes})
         place = {n: i for i, n in enumerate(order)}
-        tables, digests = dict(sources), {k: table_digest(v) for k, v in sources.items()}
+        read = sorted(set(sources) & {i for n in nodes for i in n.inputs})
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            digests = dict(zip(read, pool.map(table_digest, [sources[k] for k in read]), strict=True))
+        tables = dict(sources)
         results: dict[str, Result] = {}
         stop = threading.Event()
         tag = f"build-{time.time_ns()}"
