@@ -22,6 +22,8 @@ from kilnworks.llm import workspace as ws
 #: Words in a shingle, least similarity, bands and registers in each: a pair at 0.8 is missed once in 17,000. Registers in all:
 #: those beyond the bands only sharpen the sketches.
 SHINGLE, ALIKE, BANDS, ROWS, REGISTERS = 5, 0.8, 32, 6, 384
+#: Rows of a bucket that one task compares with the bucket's rows in the last round.
+BLOCK = 4096
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,24 +171,30 @@ def heads_of(open_rows: DataFrame, heads: int) -> DataFrame:
     return h.select("key", "h.node", "h.n", "h.root", "h.sketch").distinct()
 
 
-def with_keys(rows: DataFrame) -> DataFrame:
-    """rows with keys: all buckets of the row's node among them, a band's at most each."""
-    return rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+def candidate_pairs(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity."""
+    m, h = members.alias("m"), heads.alias("h")
+    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.root") != F.col("h.root"))
+    near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", REGISTERS // 16)
+    return m.join(h, near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
 
 
-def candidate_pairs(members: DataFrame, heads: DataFrame, once: bool = False) -> DataFrame:
-    """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity.
+def cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a bucket in different groups whose sizes and sketches allow the similarity.
 
-    once: a pair that meets in several buckets is made in the first of them alone.
+    All rows of a bucket meet all, in blocks: a row is dealt to one block as b and sent to every block as a, so no task
+    compares more than about BLOCK rows with a bucket at a time. A pair that meets in several buckets is made in the
+    first of them alone.
     """
-    if once:
-        members, heads = with_keys(members), with_keys(heads)
-    m, h = members.alias("m"), heads.alias("h")
-    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.root") != F.col("h.root"))
+    sizes = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mixed = members.join(sizes.where("low <> high").select("key", "blocks"), "key")
+    mixed = ws.cut(mixed.join(mixed.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "mixed")
+    one = mixed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("h")
+    every = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("m")
+    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.block") == F.col("h.block")) & (F.col("m.node") < F.col("h.node")) & (F.col("m.root") != F.col("h.root"))
     near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", REGISTERS // 16)
-    if once:
-        near &= F.col("m.key") == F.array_min(F.array_intersect("m.keys", "h.keys"))
-    return m.join(h, near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
+    near &= F.col("m.key") == F.array_min(F.array_intersect("m.keys", "h.keys"))
+    return every.join(one.hint("merge"), near).select(F.col("m.node").alias("a"), F.col("h.node").alias("b"))
 
 
 def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -198,8 +206,8 @@ def link_roots(sigs: DataFrame, docs: DataFrame, rounds: tuple[int, ...] = (1, 4
     """node, root: the groups that verified links make, for nodes with a link.
 
     In each bucket a head is compared with all other members, then four heads of those outside the first one's group, so a
-    bucket of one group costs a pair for each member. Members that are still outside the groups of their bucket's heads are
-    compared, by their sketches, with all members outside their own group.
+    bucket of one group costs a pair for each member. Last, in each bucket that still holds several groups, all members are
+    compared, by their sketches, with all of other groups: two groups may be linked by members that are nobody's head.
     """
     one = sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     one = ws.cut(one, "nodes")
@@ -209,22 +217,23 @@ def link_roots(sigs: DataFrame, docs: DataFrame, rounds: tuple[int, ...] = (1, 4
     members = ws.cut(members, "members")
     texts = texts_of(members.select("node").distinct(), docs)
     columns = ["key", "node", "n", "root", "sketch"]
-    found, done, open_rows = None, None, members
-    for heads in (*rounds, None):
-        top = ws.cut(heads_of(open_rows, heads), "heads") if heads else open_rows
-        pairs = candidate_pairs(members, top, once=heads is None)
+    found, done, open_rows, everyone = None, None, members, members
+    for heads in rounds:
+        top = ws.cut(heads_of(open_rows, heads), "heads")
+        pairs = candidate_pairs(members, top)
         pairs = ws.cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         new = ws.cut(verified(pairs, texts), "links")
         found, done = (new, pairs) if found is None else (found.unionByName(new), done.unionByName(pairs))
         roots = components(found)
-        if heads is None:
-            return roots
         seen = grouped(top.select("key", "node"), roots).select("key", "root").distinct()
         open_rows = ws.cut(grouped(open_rows, roots).join(seen, ["key", "root"], "left_anti").select(columns), "open")
         if open_rows.isEmpty():
-            return roots
+            break
         members = ws.cut(grouped(members, roots).join(open_rows.select("key").distinct(), "key", "left_semi").select(columns), "members")
-    raise AssertionError
+    pairs = ws.cut(cross_pairs(grouped(everyone, roots).select(columns)).join(done, ["a", "b"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return roots
+    return components(found.unionByName(ws.cut(verified(pairs, texts), "links")))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
+from pyspark.sql import functions as F
 
 from kilnworks.llm import bytestext, fingerprints, media, mixing, near_dups, packing, secrets, substrings, token_counts, token_files, toxicity, vocab
 from kilnworks.llm.queries import BYTES, BYTES_IDS, PIECES
@@ -230,6 +231,19 @@ def test_probminhash_estimates_jaccard():
     assert abs((regs[0] == regs[1]).mean() - 200 / 300) < 0.06
 
 
+@pytest.mark.parametrize("block", [4096, 10])
+def test_groups_linked_by_no_head(spark, monkeypatch, block):
+    # prefixes of one text: a similarity is a quotient of lengths, and only those of 120 and 145 shingles link the two ends
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[: n + 3], f"last{i}"]) for n, many in ((100, 25), (120, 1), (145, 1), (175, 25)) for i in range(many)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one_bucket = near_dups.signed(docs, near_dups.BANDS, near_dups.ROWS).withColumn("bands", F.array(F.lit(7).cast("long")))
+    one_bucket = one_bucket.withColumn("sketch", F.array_repeat(F.lit(0).cast("long"), near_dups.REGISTERS // 16))
+    monkeypatch.setattr(near_dups, "BLOCK", block, raising=False)
+    roots = near_dups.link_roots(one_bucket, docs).collect()
+    assert len(roots) == len(texts) and len({r.root for r in roots}) == 1
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(str(r.randint(0, 150)), str(r.randint(0, 150))) for _ in range(110)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
