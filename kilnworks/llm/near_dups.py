@@ -1,9 +1,9 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A document is the weighted set of its five-word shingles; the weight of one that comes c times is 1 + ln c. Each shingle
-sends a Poisson process of arrivals, of its weight's rate and derived from its hash alone, to m registers, and each register
-keeps the shingle that came first; a shingle stops once no register can be reached any more. Two documents agree in a
-register with their probability Jaccard similarity. Documents that agree in a band of registers are candidates, and those
+A document is the set of its five-word shingles, each of weight 1 however often it comes, as links are defined by sets. Each
+shingle sends a Poisson process of arrivals, of its weight's rate and derived from its hash alone, to m registers, and each
+register keeps the shingle that came first; a shingle stops once no register can be reached any more. Two documents agree in
+a register with their probability Jaccard similarity, which is that of their sets at these weights. Documents that agree in a band of registers are candidates, and those
 whose shingle sets have a Jaccard similarity of 0.8 or more, counted exactly, are linked. Links make groups.
 """
 
@@ -115,9 +115,9 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.pieces(batches, "__text", 2 << 20):
             d = batch.num_rows
-            doc, h, count = shingles(*bt.flat(batch.column("__text")))
+            doc, h, _ = shingles(*bt.flat(batch.column("__text")))
             n = np.bincount(doc, minlength=d)
-            registers = prob_minhash(doc, h, 1 + np.log(count), d, REGISTERS)
+            registers = prob_minhash(doc, h, np.ones(len(h)), d, REGISTERS)
             keys, bits = band_keys(registers[:, : bands * rows], bands, rows), sketches(registers)
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype("int32")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))

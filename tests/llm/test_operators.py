@@ -244,6 +244,14 @@ def test_groups_linked_by_no_head(spark, monkeypatch, block):
     assert len(roots) == len(texts) and len({r.root for r in roots}) == 1
 
 
+def test_repeated_boilerplate_is_alike(spark):
+    # 200 and 224 distinct shingles, of which 20 come about a thousand times
+    a = [f"w{i}" for i in range(204)]
+    b = [*a, *[f"line{i}" for i in range(20)] * 1000]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.n_texts) for r in near_dups.near_duplicates(docs).collect()) == [(1, 1, 2), (2, 1, 2)]
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(str(r.randint(0, 150)), str(r.randint(0, 150))) for _ in range(110)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
