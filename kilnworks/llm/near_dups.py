@@ -260,13 +260,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(ord and node of each row, node and class_id of each text); class_id is the least ord of the class."""
+    """(ord and node of each row; node, root, class_id and head of each text).
+
+    root is the class, which null or repeated ids do not tell apart. head is its text of least ord, class_id that ord.
+    """
     ws.small_batches(docs.sparkSession)
     sigs = ws.cut(signed(docs, bands, rows), "signatures")
     roots = link_roots(sigs, docs)
     of = sigs.groupBy("node").agg(F.min("ord").alias("ord")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of.groupBy("root").agg(F.min("ord").alias("class_id"))
-    return sigs.select("ord", "node"), of.join(least, "root").select("node", "class_id")
+    least = of.groupBy("root").agg(F.min(F.struct("ord", "node")).alias("least"))
+    return sigs.select("ord", "node"), of.join(least, "root").select("node", "root", F.col("least.ord").alias("class_id"), F.col("least.node").alias("head"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -274,19 +277,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     class_id is the least doc_id of the class, which is connected by equal texts and by links; a document alike to none is its
     own class. Equal texts are one class at once; a null text is empty, all empty texts are one class, and a text without
-    words is linked to none. Null ids count as the greatest. Repeated rows share a class.
+    words is linked to none. Null ids count as the greatest. Repeated rows share a class. Unlike texts of one id, or without
+    one, are classes of their own with the same class_id, and n_texts counts each class alone.
     """
     rows, of = classes(docs)
-    sized = ws.cut(of, "classes")
-    sized = sized.join(sized.groupBy("class_id").agg(F.count("*").alias("n_texts")), "class_id")
+    sized = ws.cut(of.select("node", "root", "class_id"), "classes")
+    sized = sized.join(sized.groupBy("root").agg(F.count("*").alias("n_texts")), "root")
     back = lambda c: F.when(F.col(c) != ws.MAX_ID, F.col(c)).alias({"ord": "doc_id"}.get(c, c))
     return rows.join(sized, "node").select(back("ord"), back("class_id"), "n_texts")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that stand for their class: the least doc_id's; of its equal rows one stays."""
+    """The rows of docs, with their columns, that stand for their class: the least doc_id's, then the least text's by hash; of equal rows one stays."""
     _, of = classes(docs)
     names = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("__ord", ws.id_order()).withColumn("__node", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
-    kept = keyed.join(of.select(F.col("node").alias("__node"), F.col("class_id").alias("__ord")), ["__node", "__ord"], "left_semi")
-    return kept.dropDuplicates(["__ord"]).select(*names)
+    heads = of.where("node = head").select(F.col("head").alias("__node"), F.col("class_id").alias("__ord"))
+    return keyed.join(heads, ["__node", "__ord"], "left_semi").dropDuplicates(["__node"]).select(*names)

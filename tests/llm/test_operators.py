@@ -252,6 +252,16 @@ def test_repeated_boilerplate_is_alike(spark):
     assert sorted((r.doc_id, r.class_id, r.n_texts) for r in near_dups.near_duplicates(docs).collect()) == [(1, 1, 2), (2, 1, 2)]
 
 
+def test_classes_of_null_and_repeated_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    data = [(None, text("a")), (None, text("b")), (None, text("b") + " x"), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e"))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.class_id, r.n_texts) for r in near_dups.near_duplicates(docs).collect())
+    assert got == {(None, None, 1): 3, (None, None, 2): 2, (7, 7, 1): 3}
+    kept = collections.Counter((r.doc_id, r.text[0]) for r in near_dups.without_near_duplicates(docs).collect())
+    assert kept == {(None, "a"): 1, (None, "b"): 1, (None, "c"): 1, (7, "d"): 1, (7, "e"): 1}
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(str(r.randint(0, 150)), str(r.randint(0, 150))) for _ in range(110)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
