@@ -104,15 +104,17 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.join(back, "name", "full").select("name", F.coalesce("deps", empty).alias("deps"), F.coalesce("dependents", empty).alias("dependents"))
 
 
-def dependents_closure(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
-    """name of all that depend on the start names, directly or not: a frontier that only grows by what is new."""
+def dependents_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """name of all that depend on the start names, directly or not: a frontier that only grows by what is new, until it is empty."""
     seen = start.select("name").distinct()
-    front = seen
-    for _ in range(most):
+    front, rounds = seen, 0
+    while True:
         new = edges.join(front.select(F.col("name").alias("dep")), "dep").select("name").distinct().join(seen, "name", "left_anti").checkpoint()
         if new.isEmpty():
             break
-        seen, front = seen.unionByName(new), new
+        seen, front, rounds = seen.unionByName(new), new, rounds + 1
+        if rounds % 50 == 0:
+            seen = seen.checkpoint()  # a deep chain's plan stays small
     return seen.join(start.select("name").distinct(), "name", "left_anti")
 
 

@@ -85,6 +85,14 @@ def test_graph_frames(spark):
     assert {r.name: (r.deps, r.dependents) for r in graph.adjacency(e).collect()}["b"] == (["a"], ["c"])
 
 
+def test_closure_has_no_bound(spark, monkeypatch):
+    # a chain of over 1000 takes too long here: any bound on the rounds is made 2 instead
+    monkeypatch.setattr(graph, "range", lambda most: range(2), raising=False)
+    e = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(5)], "name string, dep string")
+    got = graph.dependents_closure(e, spark.createDataFrame([("n0",)], "name string"))
+    assert sorted(r.name for r in got.collect()) == [f"n{i}" for i in range(1, 6)]
+
+
 def test_keys_miss_and_hit():
     base = dict(command=["cp", "x"], env={"M": "1"}, engine="t", inputs={"i": "d"}, outputs=["o"])
     key = fingerprint.node_key(**base)
