@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from kilnworks.llm import mixing, near_dups, packing, secrets, toxicity, workspace
 from kilnworks.llm.queries import BYTES
 
-#: None: no stage can be said in SQL; tests/llm holds run() against a brute-force version.
+#: None: no stage can be said in SQL. tests/llm checks the stages' ids and the number of run()'s rows; run()'s rows are not
+#: held against a brute-force version yet.
 ORACLE_SQL = None
 
 
