@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,35 +93,134 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -
     return starts, ends, np.diff(at)
 
 
-_powers = np.ones(1, dtype="uint64")
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros after the end; a view that costs no memory but the copy of data."""
+    padded = np.concatenate([data, np.zeros(8, dtype="uint8")])
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4096) - 1, BASE, dtype="uint64"))])
-    return _powers[:n]
+#: Mask of the first n of 8 bytes.
+FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype="uint64")
+#: Words of more bytes are hashed one by one, by BLAKE2b.
+LONG = 64
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 19) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; worked through in stretches of about so many bytes, which bounds its memory."""
-    size = ends - starts
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each word's bytes.
+
+    Words of up to LONG bytes are mixed 8 bytes at a time, each step a bijection of what came before, so words of up to 8 bytes
+    of one length never collide; longer words are hashed by BLAKE2b. Worked through in stretches of so many words.
+    """
+    wide = eights(data)
     out = np.empty(len(starts), dtype="uint64")
-    upto = np.cumsum(size)
-    at = 0
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + stretch)))
-            n = size[at:to]
-            first = np.cumsum(n) - n
-            rank = np.arange(int(n.sum())) - np.repeat(first, n)
-            value = (data[np.repeat(starts[at:to], n) + rank].astype("uint64") + np.uint64(1)) * powers(int(n.max()) + 1)[rank + 1]
-            out[at:to] = mix(np.add.reduceat(value, first) + n.astype("uint64") * STEP)
-            at = to
+        for at in range(0, len(starts), stretch):
+            a, n = starts[at : at + stretch], (ends - starts)[at : at + stretch]
+            h = mix((n.astype("uint64") * STEP) ^ (wide[a] & FIRST[np.minimum(n, 8)]))
+            more, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+            while len(more):
+                h[more] = mix(h[more] * BASE + (wide[a[more] + k] & FIRST[np.minimum(n[more] - k, 8)]))
+                k += 8
+                more = more[n[more] > k]
+            out[at : at + stretch] = h
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        own = b"".join(hashlib.blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        out[long] = np.frombuffer(own, dtype="<u8")
+    return out
+
+
+def same_bytes(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, sizes: np.ndarray, stretch: int = 1 << 18) -> np.ndarray:
+    """Are the ``sizes`` bytes from a on in ``left`` those from b on in ``right``? Both are eights() of some data."""
+    out = (left[a] ^ right[b]) & FIRST[np.minimum(sizes, 8)] == 0
+    rest = np.flatnonzero(out & (sizes > 8))
+    steps = (sizes[rest] - 1) // 8
+    upto = np.cumsum(steps)
+    at = 0
+    while at < len(rest):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + stretch)))
+        row, n = rest[at:to], steps[at:to]
+        k = 8 * (1 + within(n))
+        x, y, left_over = np.repeat(a[row], n) + k, np.repeat(b[row], n) + k, np.repeat(sizes[row], n) - k
+        differ = (left[x] ^ right[y]) & FIRST[np.minimum(left_over, 8)] != 0
+        out[np.repeat(row, n)[differ]] = False
+        at = to
     return out
 
 
+class Words:
+    """Values of byte strings seen before, found by a 64-bit hash and then compared byte by byte.
+
+    group() tells the distinct strings of a batch, find() those that are known and learn() adds some. At most ``room`` strings
+    and ``most`` bytes of them are held; a string of more than LARGEST bytes never is.
+    """
+
+    LARGEST = 1024
+
+    def __init__(self, room: int, most: int = 48 << 20):
+        self.room, self.most = room, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots = np.empty(0, "uint64"), np.empty(0, "int64")
+        self.text, self.starts, self.sizes = np.zeros(1 << 16, "uint8"), np.empty(0, "int64"), np.empty(0, "int64")
+        self.used = 0
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    @staticmethod
+    def group(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first place, group of each string): one group for each distinct string, whatever their hashes."""
+        keys, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        wide, sizes = eights(data), ends - starts
+        origin = first[back]
+        strange = np.flatnonzero((sizes != sizes[origin]) | ~same_bytes(wide, starts, wide, starts[origin], np.minimum(sizes, sizes[origin])))
+        if len(strange):  # strings whose hash is another string's
+            raw, of = data.tobytes(), {}
+            for i in strange.tolist():
+                back[i] = of.setdefault(raw[starts[i] : ends[i]], len(keys) + len(of))
+            extra = np.array([np.flatnonzero(back == g)[0] for g in of.values()], dtype="int64")
+            keys, first = np.concatenate([keys, keys[np.searchsorted(keys, word_hashes(data, starts[extra], ends[extra]))]]), np.concatenate([first, extra])
+        return keys, first, back
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The slot of each string, -1 if it is not known."""
+        slot = np.full(len(keys), -1, dtype="int64")
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = np.flatnonzero((self.keys[at] == keys) & (self.sizes[self.slots[at]] == ends - starts))
+            own = self.slots[at[hit]]
+            hit = hit[same := same_bytes(eights(data), starts[hit], eights(self.text[: self.used]), self.starts[own], self.sizes[own])]
+            slot[hit] = own[same]
+        return slot
+
+    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hold those of these new strings that may be; which they are, in the order of their new slots."""
+        sizes = ends - starts
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        _, once = np.unique(keys, return_index=True)
+        alone = np.zeros(len(keys), dtype=bool)
+        alone[once] = True
+        take = np.flatnonzero(alone & ~known & (sizes <= self.LARGEST))
+        n = sizes[take]
+        upto = self.used + np.concatenate([[0], np.cumsum(n)])
+        while len(self.text) < upto[-1]:
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.used : upto[-1]] = data[np.repeat(starts[take], n) + within(n)]
+        order = np.argsort(keys[take], kind="stable")
+        at = np.searchsorted(self.keys, keys[take][order])
+        self.keys, self.slots = np.insert(self.keys, at, keys[take][order]), np.insert(self.slots, at, len(self.sizes) + order)
+        self.starts, self.sizes, self.used = np.concatenate([self.starts, upto[:-1]]), np.concatenate([self.sizes, n]), int(upto[-1])
+        return take
+
+    def full(self, more: int) -> bool:
+        return len(self.sizes) + more > max(self.room, 2 * more) or self.used > self.most
+
+
 def ngrams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of h[i : i + k] for each i; the callers drop those that cross a document's end."""
     if len(h) < k:

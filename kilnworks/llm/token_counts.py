@@ -6,6 +6,7 @@ once; sequences without a pair leave the array, and their surviving symbols are
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from kilnworks.llm import bytestext as bt
 
 NONE = np.int64(2**62)
+#: Steps in which all sequences are merged together; those that need more (long runs of one character) are finished by a heap.
+TOGETHER = 400
 MARK = "▁"
 
 
@@ -23,8 +26,8 @@ class PieceCounter:
     """counts(texts): how many ids a byte-fallback BPE .model gives each text, without begin and end.
 
     Spaces become U+2581 and one comes first, as the model's identity normaliser does it. A text is cut where a space
-    follows another character, unless some piece of the vocabulary spans such a place. Counts of pre-tokens are kept by a
-    64-bit hash, for at most ``room`` of them.
+    follows another character, unless some piece of the vocabulary spans such a place. Counts of pre-tokens are kept with their
+    bytes, for at most ``room`` of them.
     """
 
     def __init__(self, path: str, room: int = 1_000_000):
@@ -62,15 +65,8 @@ class PieceCounter:
         for x, i in index.items():
             if len(x) == 1:
                 self.chars[ord(x)] = i
-        self.room = room
-        self.known, self.kept = np.empty(0, "uint64"), np.empty(0, "int64")
-        #: Long runs of spaces: the longest piece of spaces, if from five of them on each more adds one symbol, else 0.
-        self.period = max((len(x) for x in names if not x.strip(MARK)), default=0)
-        for tail in ("", "a"):
-            runs = [MARK * (k * self.period + r) + tail for r in (0, 1, self.period // 2) for k in (5, 6, 7, 8)]
-            n = self.merged(np.array([ord(c) for x in runs for c in x]), np.array([len(x) for x in runs])).reshape(3, 4) if self.period else np.zeros((3, 4))
-            if not (np.diff(n, axis=1) == 1).all():
-                self.period = 0
+        self.made_by: dict[int, int] = {}
+        self.known, self.kept = bt.Words(room), np.empty(0, "int64")
 
     _of: dict[str, PieceCounter] = {}
 
@@ -98,7 +94,14 @@ class PieceCounter:
         if len(sym) > 1:
             near = np.flatnonzero(seq[:-1] == seq[1:])
             joint[near] = self.pairs_of(sym[near], sym[near + 1])
-        while len(sym):
+        for step in range(TOGETHER + 1):
+            if not len(sym):
+                break
+            if step == TOGETHER:
+                begin = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+                for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(seq)], strict=True):
+                    out[seq[a]] += self.finished(sym[a:b].tolist())
+                break
             begin = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
             size = np.diff(np.append(begin, len(seq)))
             rank = self.rank_of[joint]
@@ -132,6 +135,36 @@ class PieceCounter:
             joint[near] = self.pairs_of(sym[near], sym[near + 1])
         return out
 
+    def finished(self, sym: list[int]) -> int:
+        """Symbols that survive in one sequence, whose pairs are taken from a heap by rank, then place."""
+        if not self.made_by:
+            self.made_by = dict(zip(self.pairs.tolist(), self.made.tolist(), strict=True))
+        width, last, alive = self.n + 1, len(sym), len(sym)
+        right, left = list(range(1, last + 1)), list(range(-1, last - 1))
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = right[i]
+            if j < last and (piece := self.made_by.get(sym[i] * width + sym[j])) is not None:
+                heapq.heappush(heap, (int(self.rank_of[piece]), i, piece, sym[i] * width + sym[j]))
+
+        for i in range(last):
+            offer(i)
+        gone = bytearray(last)
+        while heap:
+            _, i, piece, pair = heapq.heappop(heap)
+            j = right[i]
+            if gone[i] or j >= last or sym[i] * width + sym[j] != pair:
+                continue
+            sym[i], right[i], gone[j] = piece, right[j], 1
+            if right[i] < last:
+                left[right[i]] = i
+            alive -= 1
+            offer(i)
+            if left[i] >= 0:
+                offer(left[i])
+        return alive
+
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, tokens) of each text; null is empty."""
         data, offsets = bt.flat(texts)
@@ -145,37 +178,29 @@ class PieceCounter:
         full = np.flatnonzero(np.diff(offsets))
         data = np.insert(data, offsets[full], 0x20)
         offsets = offsets + np.concatenate([[0], np.cumsum(np.diff(offsets) > 0)])
-        raw = data.tobytes()
         cut = np.zeros(len(data) + 1, dtype=bool)
         if self.cut_at_spaces:
             cut[1 : len(data)] = (data[1:] == 0x20) & (data[:-1] != 0x20)
         cut[offsets] = True
         starts = np.flatnonzero(cut[: len(data)])
         ends = np.append(starts[1:], len(data))
-        keys, first, back = np.unique(bt.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > self.room:
-            self.known, self.kept = np.empty(0, "uint64"), np.empty(0, "int64")
-        at = np.searchsorted(self.known, keys)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != keys) if len(self.known) else np.arange(len(keys))
+        keys, first, back = bt.Words.group(data, starts, ends)
+        a, b = starts[first], ends[first]
+        if self.known.full(len(keys)):
+            self.known.clear()
+            self.kept = np.empty(0, "int64")
+        slot = self.known.find(keys, data, a, b)
+        n, new = np.empty(len(keys), dtype="int64"), np.flatnonzero(slot < 0)
+        n[slot >= 0] = self.kept[slot[slot >= 0]]
         if len(new):
-            a, b = starts[first[new]], ends[first[new]]
-            own = [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            spare = np.zeros(len(own), dtype="int64")
-            for i in np.flatnonzero(b - a > 8 * self.period) if self.period else ():
-                run = len(own[i]) - len(own[i].lstrip(b" "))
-                spare[i] = max(0, run // self.period - 6)
-                own[i] = own[i][spare[i] * self.period :]
-            joined = b"".join(own)
-            lead = (np.frombuffer(joined, "uint8") & 0xC0) != 0x80
-            upto = np.concatenate([[0], np.cumsum(lead)])
-            size = np.diff(upto[np.concatenate([[0], np.cumsum([len(x) for x in own])])])
-            codes = np.frombuffer(joined.decode().encode("utf-32-le"), dtype="uint32").astype("int64")
+            size = b[new] - a[new]
+            joined = data[np.repeat(a[new], size) + bt.within(size)]
+            upto = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80)])
+            codes = np.frombuffer(joined.tobytes().decode().encode("utf-32-le"), dtype="uint32").astype("int64")
             codes[codes == 0x20] = ord(MARK)
-            found = self.merged(codes, size) + spare
-            self.known = np.insert(self.known, at[new], keys[new])
-            self.kept = np.insert(self.kept, at[new], found)
-            at = np.searchsorted(self.known, keys)
-        each = np.concatenate([[0], np.cumsum(self.kept[at][back])])
+            n[new] = self.merged(codes, np.diff(upto[np.concatenate([[0], np.cumsum(size)])]))
+            self.kept = np.concatenate([self.kept, n[new][self.known.learn(keys[new], data, a[new], b[new])]])
+        each = np.concatenate([[0], np.cumsum(n[back])])
         return n_bytes, np.diff(each[np.searchsorted(starts, offsets)])
 
 

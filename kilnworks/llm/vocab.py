@@ -40,7 +40,7 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class CachedBpe:
     """ids(texts) as Tokenizer.encode_batch(texts, add_special_tokens=False) gives them.
 
-    New parts go through the library; their ids are kept by a 64-bit hash, for at most ``room`` parts: when that is full,
+    New parts go through the library; their ids are kept with their bytes, for at most ``room`` parts: when that is full,
     those that came only once go. A text with one of the added tokens' strings goes through the library whole.
     """
 
@@ -61,72 +61,64 @@ class CachedBpe:
         with open(path, encoding="utf-8") as f:
             self.added = [x["content"] for x in json.load(f).get("added_tokens", [])]
         self.line_end = self.tok.encode("\n", add_special_tokens=False).ids
-        self.room = room
+        self.words = bt.Words(room)
         self._reset()
 
     def _reset(self) -> None:
-        self.keys = np.empty(0, dtype="uint64")
-        self.slots = np.empty(0, dtype="int64")
-        self.data = np.empty(1 << 20, dtype="uint32")
-        self.starts = np.zeros(1 << 16, dtype="int64")
-        self.again = np.zeros(1 << 16, dtype=bool)
-        self.n, self.used = 0, 0
+        self.words.clear()
+        self.data, self.starts, self.used = np.empty(1 << 20, dtype="uint32"), np.zeros(1, dtype="int64"), 0
+        self.again = np.empty(0, dtype=bool)
 
     def _shrink(self) -> None:
         """Keep the parts that came again since they were learned; if those are too many, none."""
-        stay = self.again[self.slots]
-        if 2 * stay.sum() > self.room:
+        stay, old = np.flatnonzero(self.again), self.words
+        if 2 * len(stay) > old.room:
             return self._reset()
-        keys, slots = self.keys[stay], self.slots[stay]
-        begin, size = self.starts[slots], self.starts[slots + 1] - self.starts[slots]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        data = self.data[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        begin, size = self.starts[stay], self.starts[stay + 1] - self.starts[stay]
+        ids = self.data[np.repeat(begin, size) + bt.within(size)]
+        key = np.empty(len(old), dtype="uint64")
+        key[old.slots] = old.keys
+        text, a = old.text[: old.used], old.starts[stay]
+        b = a + old.sizes[stay]
+        self.words = bt.Words(old.room, old.most)
         self._reset()
-        self.keys, self.slots, self.data = keys, np.arange(len(keys)), np.concatenate([data, self.data])
-        self.starts = np.concatenate([upto, self.starts])
-        self.again = np.zeros(len(self.starts), dtype=bool)
-        self.n, self.used = len(keys), int(upto[-1])
+        self._hold(self.words.learn(key[stay], text, a, b), ids, size)
+
+    def _hold(self, taken: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Keep the ids of the taken parts, of all whose ids lie one after the other."""
+        begin = np.cumsum(size) - size
+        n = size[taken]
+        while len(self.data) < self.used + n.sum():
+            self.data = np.concatenate([self.data, np.empty_like(self.data)])
+        upto = self.used + np.cumsum(n)
+        self.data[self.used : self.used + n.sum()] = ids[np.repeat(begin[taken], n) + bt.within(n)]
+        self.starts, self.used = np.concatenate([self.starts, upto]), int(self.used + n.sum())
+        self.again = np.concatenate([self.again, np.zeros(len(taken), dtype=bool)])
 
     def _encode(self, new: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of these parts. Plain ones share calls: a line end after each is a token of its own."""
-        ids, size = [], np.zeros(len(new), dtype="int64")
-        order = []
+        """Ids and counts of these parts, in order. Plain ones share calls: a line end after each is a token of its own."""
+        got: list[np.ndarray] = []
+        size = np.zeros(len(new), dtype="int64")
         mark = self.line_end[0]
         joined = np.flatnonzero(plain) if len(self.line_end) == 1 else np.empty(0, "int64")
         for a in range(0, len(joined), 512):
             some = joined[a : a + 512]
-            got = np.array(self.tok.encode_batch_fast([b"\n".join([new[i] for i in some] + [b""]).decode()], add_special_tokens=False)[0].ids, dtype="uint32")
-            stops = np.flatnonzero(got == mark)
+            ids = np.array(self.tok.encode_batch_fast([b"\n".join([new[i] for i in some] + [b""]).decode()], add_special_tokens=False)[0].ids, dtype="uint32")
+            stops = np.flatnonzero(ids == mark)
             if len(stops) != len(some):
                 raise ValueError("the line end is no token of its own in this vocabulary")
             size[some] = np.diff(np.concatenate([[-1], stops])) - 1
-            ids.append(got[got != mark])
-            order.append(some)
+            got.append(ids[ids != mark])
         alone = np.setdiff1d(np.arange(len(new)), joined)
         if len(alone):
             for i, e in zip(alone, self.tok.encode_batch_fast([new[i].decode() for i in alone], add_special_tokens=False), strict=True):
                 size[i] = len(e.ids)
-                ids.append(np.array(e.ids, dtype="uint32"))
-            order.append(alone)
-        order = np.concatenate(order)
-        return np.concatenate(ids), size, order
-
-    def _learn(self, keys: np.ndarray, new: list[bytes], plain: np.ndarray) -> None:
-        ids, size, order = self._encode(new, plain)
-        while len(self.starts) < self.n + len(new) + 1:
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
-        while len(self.data) < self.used + len(ids):
-            self.data = np.concatenate([self.data, np.empty_like(self.data)])
-        self.data[self.used : self.used + len(ids)] = ids
-        self.starts[self.n + 1 : self.n + 1 + len(new)] = self.used + np.cumsum(size[order])
-        slots = np.empty(len(new), dtype="int64")
-        slots[order] = np.arange(self.n, self.n + len(new))
-        self.n += len(new)
-        self.used += len(ids)
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.slots = np.insert(self.slots, at, slots)
+                got.append(np.array(e.ids, dtype="uint32"))
+        ids, order = np.concatenate(got), np.concatenate([joined, alone])
+        n = size[order]
+        begin = np.empty(len(new), dtype="int64")
+        begin[order] = np.cumsum(n) - n
+        return ids[np.repeat(begin, size) + bt.within(size)], size
 
     def _library(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(x.ids, dtype="uint32") for x in self.tok.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
@@ -142,22 +134,26 @@ class CachedBpe:
             return np.empty(0, "uint32"), np.zeros(len(texts), "int64")
         starts = parts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        keys, first, back = np.unique(bt.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > max(self.room, 2 * len(keys)):
+        keys, first, back = bt.Words.group(data, starts, ends)
+        a, b = starts[first], ends[first]
+        if self.words.full(len(keys)):
             self._shrink()
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        missing = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), dtype=bool)
-        new = np.flatnonzero(missing)
-        if len(new) < len(keys):
-            self.again[self.slots[at[~missing]]] = True
+        slot = self.words.find(keys, data, a, b)
+        old, new = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+        self.again[slot[old]] = True
+        begin, size = np.empty(len(keys), dtype="int64"), np.empty(len(keys), dtype="int64")
+        ids, n = np.empty(0, "uint32"), np.empty(0, "int64")
         if len(new):
             odd = np.concatenate([[0], np.cumsum(~PLAIN[data])])
-            a, b = starts[first[new]], ends[first[new]]
-            spaced = data[a] == 0x20
-            self._learn(keys[new], [raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], (odd[b] - odd[a + spaced] == 0) & (b - a > spaced))
-            at = np.searchsorted(self.keys, keys)
-        slot = self.slots[at][back]
-        begin, size = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
+            x, y = a[new], b[new]
+            spaced = data[x] == 0x20
+            ids, n = self._encode([raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)], (odd[y] - odd[x + spaced] == 0) & (y - x > spaced))
+        begin[old], size[old] = self.starts[slot[old]], np.diff(self.starts)[slot[old]]
+        begin[new], size[new] = self.used + np.cumsum(n) - n, n
+        pool = np.concatenate([self.data[: self.used], ids])
+        begin, size = begin[back], size[back]
+        out = pool[np.repeat(begin, size) + bt.within(size)]
+        if len(new):
+            self._hold(self.words.learn(keys[new], data, x, y), ids, n)
         upto = np.concatenate([[0], np.cumsum(size)])
-        out = self.data[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
         return out, np.diff(upto[np.searchsorted(starts, offsets)])
