@@ -3,7 +3,8 @@
 Documents stand in ascending doc_id order in one stream of tokens for each range of ids. Windows of the stream become
 sequences. f(j), the least cost of a stream cut at candidate j, is the least f(i) + padding of (i, j) + penalty of a cut at j;
 as padding is linear in the window's length, f(i) + position(i) over the reach of a window is a sliding minimum,
-which a monotone queue keeps. Windows of a power of two are not padded and are tried apart.
+which a monotone queue keeps. Windows of a power of two are not padded: each of their few possible beginnings is tried too.
+Cuts stand after documents and sentences alone, but for sentences that are longer than a sequence.
 """
 
 from __future__ import annotations
@@ -18,38 +19,34 @@ from pyspark.sql import DataFrame
 from kilnworks.llm.token_files import encoded, in_order
 
 #: Cost in tokens of a cut after a sentence, of one elsewhere in a text, and of any sequence.
-SENTENCE, INSIDE, SEQUENCE = 2, 16, 1
-#: Powers of two tried as windows without padding.
-POWERS = (1024, 512, 256)
-#: Tokens between candidate cuts: after sentences at least, elsewhere if there are no others.
-APART, GAP = 12, 48
+SENTENCE, INSIDE, SEQUENCE = 2, 32, 8
+#: Tokens between candidate cuts in a sentence that is longer than a sequence.
+GAP = 64
 
 
-def candidates(ends: np.ndarray, docs: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ends: np.ndarray, docs: np.ndarray, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions that may be cut, 0 and total included, and their penalties. ends: after sentences; docs: after documents."""
-    cell = ends // APART
-    last = np.ones(len(ends), dtype=bool)
-    last[:-1] = cell[1:] != cell[:-1]
-    at = np.union1d(np.union1d(ends[last], docs), [0, total])
-    cells = np.arange(GAP, total, GAP)
-    empty = np.searchsorted(at, cells) == np.searchsorted(at, cells - GAP, side="right")
-    at = np.union1d(at, cells[empty])
-    penalty = np.full(len(at), INSIDE)
-    penalty[np.isin(at, ends)] = SENTENCE
-    penalty[np.isin(at, docs)] = 0
+    at = np.union1d(np.union1d(ends, docs), [0, total])
+    long = np.flatnonzero(np.diff(at) > width)
+    inside = [np.arange(a + min(GAP, width), b, min(GAP, width)) for a, b in zip(at[long].tolist(), at[long + 1].tolist(), strict=True)]
+    penalty = np.full(len(at), SENTENCE)
+    penalty[np.searchsorted(at, docs)] = 0
     penalty[[0, -1]] = 0
+    if inside:
+        more = np.concatenate(inside)
+        place = np.searchsorted(at, more)
+        at, penalty = np.insert(at, place, more), np.insert(penalty, place, INSIDE)
     return at, penalty
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, width: int) -> np.ndarray:
     """Positions of the cheapest cuts, 0 and the end included."""
     n = len(at)
-    extra: dict[int, list[int]] = {}
-    for p in POWERS:
-        if p < width:
-            i = np.searchsorted(at, at - p)
-            for j in np.flatnonzero((at[i] == at - p) & (at >= p)).tolist():
-                extra.setdefault(j, []).append(int(i[j]))
+    exact: list[tuple[int, ...]] = [()] * n  # candidates a power of two before each one
+    for p in (1 << k for k in range((width - 1).bit_length())):
+        i = np.searchsorted(at, at - p)
+        for j in np.flatnonzero((at[i] == at - p) & (at >= p)).tolist():
+            exact[j] += (int(i[j]),)
     pos, pen = at.tolist(), penalty.tolist()
     cost, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + position, candidate)
@@ -59,7 +56,7 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, width: int) -> np.ndarray:
             queue.popleft()
         low, i = queue[0]
         low += width - p
-        for k in extra.get(j, ()):
+        for k in exact[j]:
             if cost[k] < low:
                 low, i = cost[k], k
         low += pen[j] + SEQUENCE
@@ -77,13 +74,7 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, width: int) -> np.ndarray:
 def pack_stream(ids: np.ndarray, sizes: np.ndarray, sentence_end: np.ndarray, width: int) -> np.ndarray:
     """Cuts of the ids of these documents into sequences, 0 and the end included."""
     docs = np.cumsum(sizes)
-    total = int(docs[-1])
-    cuts = best_cuts(*candidates(np.flatnonzero(sentence_end[ids]) + 1, docs, total), width)
-    rest = int(cuts[-1] - cuts[-2])
-    parts = [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
-    if width - rest > (INSIDE + SEQUENCE) * (len(parts) - 1) and rest not in (width, 0) and len(parts) > 1:
-        cuts = np.concatenate([cuts[:-1], cuts[-2] + np.cumsum(parts)])
-    return cuts
+    return best_cuts(*candidates(np.flatnonzero(sentence_end[ids]) + 1, docs, int(docs[-1]), width), width)
 
 
 def padded(length: int, width: int = 2048) -> int:
@@ -105,28 +96,35 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, width: int = 2048,
 
     Columns: doc_id, start (its document's ids before it), length, ids (little-endian u32), doc_tokens, sequence_id, offset.
     Each id of each document lies in one piece. A null or empty text is its end id alone, a null doc_id comes last, equal rows
-    are packed one after the other. The stream is solved in stretches of about ``stretch`` tokens that end between documents,
-    so memory is bounded by that and the longest text. One shuffle, of the texts by ranges of ids.
+    are packed one after the other. The stream of a range is solved in stretches of about ``stretch`` tokens; the last window of
+    each is solved again with the next, so memory is bounded by that and the longest text, and only a range's end may be padded
+    much. One shuffle, of the texts by ranges of ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = sentence_ends(tokenizer)
-        bucket, made = None, 0
+        bucket, made, done = None, 0, 0  # done: ids of the first held document that are packed already
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
-        def close() -> pa.RecordBatch:
-            nonlocal made, held
+        def close(last: bool) -> pa.RecordBatch:
+            nonlocal made, done, held
             names = [i for x in held for i in x[0]]
             sizes, ids = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
-            held = []
-            cuts = pack_stream(ids, sizes, ends, width)
+            left = sizes.copy()
+            left[0] -= done
+            cuts = pack_stream(ids[done:], left, ends, width) + done
+            if not last and len(cuts) > 2:
+                cuts = cuts[:-1]
             upto = np.concatenate([[0], np.cumsum(sizes)])
-            at = np.union1d(cuts, upto)
+            at = np.union1d(cuts, upto[(upto > done) & (upto <= cuts[-1])])
             begin, size = at[:-1], np.diff(at)
             of, seq = np.searchsorted(upto, begin, side="right") - 1, np.searchsorted(cuts, begin, side="right") - 1
             raw = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer((4 * at).astype("int32").tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
             first = (bucket << 40) + made
             made += len(cuts) - 1
+            k = int(np.searchsorted(upto, cuts[-1], side="right")) - 1
+            done = int(cuts[-1] - upto[k])
+            held = [(names[k:], sizes[k:], ids[upto[k] :])] if k < len(sizes) else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([names[i] for i in of.tolist()], pa.int64()), pa.array(begin - upto[of]), pa.array(size), raw, pa.array(sizes[of]), pa.array(first + seq), pa.array(begin - cuts[seq])],
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
@@ -139,13 +137,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, width: int = 2048,
             for at in np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist():
                 if of[at] != bucket:
                     if held:
-                        yield close()
+                        yield close(True)
                     bucket, made = int(of[at]), 0
                 to = int(np.searchsorted(of, bucket, side="right"))
                 held.append((names[at:to], counts[at:to], ids[upto[at] : upto[to]]))
-                if sum(len(x[2]) for x in held) >= stretch:
-                    yield close()
+                if sum(len(x[2]) for x in held) - done >= stretch:
+                    yield close(False)
         if held:
-            yield close()
+            yield close(True)
 
     return in_order(docs).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

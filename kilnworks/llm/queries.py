@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnworks.llm import fingerprints, media, mixing, near_dups, oracle, packing, secrets, substrings, token_counts, token_files, toxicity
+from kilnworks.llm import fingerprints, media, mixing, near_dups, oracle, packing, secrets, substrings, token_counts, token_files, toxicity, workspace
 from kilnworks.llm.workspace import documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,7 +29,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = token_files.write_tokens(documents(spark, sf_dir).select("doc_id", "text"), BYTES, end=2, vocabulary=BYTES_IDS)
+    path = workspace.place(spark, "tokens")  # as an intermediate table; files at a path of the caller's own stay
+    token_files.write_tokens(documents(spark, sf_dir).select("doc_id", "text"), BYTES, end=2, vocabulary=BYTES_IDS, path=path)
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

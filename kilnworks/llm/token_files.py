@@ -2,23 +2,24 @@
 
 A member holds the ids of consecutive documents, each id in the fewest bits that the vocabulary needs. Its image is
 
-    magic 8 bytes | bits u32 | block u32 | documents u64 | ids u64
+    magic 8 bytes | bits u32 | block u32 | bucket i32 | member i32 | documents u64 | ids u64 | bytes of the image u64
     document ids i64 each | 1 byte each: has the document an id | ids of each document u64
     block offsets u64, one more than blocks | blocks, each on a byte border
 
-all little-endian. A block holds ``block`` ids, so any id is found from its number alone and read by unpacking one block.
-Members are rows of a table that Spark's writer commits: a lost executor's member is simply written again, and the
-table may lie in any store that Spark reaches.
+all little-endian. A file is a row of members, each followed by one line end, which is Spark's text writer's record mark: so
+Spark's committer publishes the files (a lost executor's are simply written again) in any store that it reaches. Beside them a
+directory table tells each member's file, place and first id, so any id is found from its number alone, by seeking to its
+member and unpacking one block.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from kilnworks.llm import bytestext as bt
@@ -26,7 +27,7 @@ from kilnworks.llm import workspace as ws
 from kilnworks.llm.vocab import CachedBpe
 
 MAGIC = b"KWTOKENS"
-HEAD = struct.Struct("<8sIIQQ")
+HEAD = struct.Struct("<8sIIiiQQQ")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -49,49 +50,59 @@ def unpack(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return flags @ (np.uint32(1) << np.arange(bits, dtype="uint32"))
 
 
-def image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bits: int, block: int) -> bytes:
+def image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bits: int, block: int, bucket: int = 0, member: int = 0) -> bytes:
     """A member with these documents; an id that needs more bits is an error."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError("an id needs more bits")
     blocks = [pack(ids[a : a + block], bits) for a in range(0, len(ids), block)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype("<u8")
-    return b"".join(
-        [
-            HEAD.pack(MAGIC, bits, block, len(doc_ids), len(ids)),
-            np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(),
-            np.array([x is not None for x in doc_ids], dtype="uint8").tobytes(),
-            np.asarray(counts, dtype="<u8").tobytes(),
-            offsets.tobytes(),
-            *blocks,
-        ]
-    )
+    body = [np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), np.array([x is not None for x in doc_ids], dtype="uint8").tobytes(), np.asarray(counts, dtype="<u8").tobytes(), offsets.tobytes(), *blocks]
+    return b"".join([HEAD.pack(MAGIC, bits, block, bucket, member, len(doc_ids), len(ids), HEAD.size + sum(map(len, body))), *body])
 
 
 class Member:
-    """A member read from its image; ids(start, n) unpacks only the blocks that it needs."""
+    """A member read from ``at``, a function of (place, length) that gives bytes of its image.
 
-    def __init__(self, data: bytes):
-        magic, self.bits, self.block, docs, self.n = HEAD.unpack_from(data)
+    Only the head and the lists are read at once; ids(start, n) reads and unpacks the blocks that it needs.
+    """
+
+    def __init__(self, at: Callable[[int, int], bytes | memoryview]):
+        self.at = at
+        magic, self.bits, self.block, self.bucket, self.member, docs, self.n, self.size = HEAD.unpack(at(0, HEAD.size))
         if magic != MAGIC:
             raise ValueError("no token member")
-        at = HEAD.size
-        known = np.frombuffer(data, "uint8", docs, at + 8 * docs)
-        self.doc_ids = [i if k else None for i, k in zip(np.frombuffer(data, "<i8", docs, at).tolist(), known, strict=True)]
-        self.counts = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype("int64")
-        at += 17 * docs
         blocks = -(-self.n // self.block)
-        self.offsets = np.frombuffer(data, "<u8", blocks + 1, at).astype("int64")
-        self.data = memoryview(data)[at + 8 * (blocks + 1) :]
+        lists = at(HEAD.size, 17 * docs + 8 * (blocks + 1))
+        known = np.frombuffer(lists, "uint8", docs, 8 * docs)
+        self.doc_ids = [i if k else None for i, k in zip(np.frombuffer(lists, "<i8", docs).tolist(), known, strict=True)]
+        self.counts = np.frombuffer(lists, "<u8", docs, 9 * docs).astype("int64")
+        self.offsets = np.frombuffer(lists, "<u8", blocks + 1, 17 * docs).astype("int64") + HEAD.size + len(lists)
 
     def ids(self, start: int = 0, n: int | None = None) -> np.ndarray:
         stop = self.n if n is None else min(self.n, start + n)
         if stop <= start:
             return np.empty(0, dtype="uint32")
         first, last = start // self.block, (stop - 1) // self.block
-        got = [unpack(self.data[self.offsets[b] : self.offsets[b + 1]], min(self.block, self.n - b * self.block), self.bits) for b in range(first, last + 1)]
+        base = int(self.offsets[first])
+        data = memoryview(self.at(base, int(self.offsets[last + 1]) - base))
+        got = [unpack(data[self.offsets[b] - base : self.offsets[b + 1] - base], min(self.block, self.n - b * self.block), self.bits) for b in range(first, last + 1)]
         return np.concatenate(got)[start - first * self.block : stop - first * self.block].astype("uint32")
 
 
+def in_memory(data: bytes | memoryview, start: int = 0) -> Callable[[int, int], memoryview]:
+    view = memoryview(data)
+    return lambda at, n: view[start + at : start + at + n]
+
+
+def members(data: bytes | memoryview) -> Iterator[tuple[int, Member]]:
+    """(place, member) of a file's members."""
+    at = 0
+    while at < len(data):
+        m = Member(in_memory(data, at))
+        yield at, m
+        at += m.size + 1
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids with the end id after each text, ids of each) for pieces of the batches; the column is __text."""
     bpe = CachedBpe.of(path)
@@ -107,25 +118,25 @@ def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return ws.by_ranges(own, parts).sortWithinPartitions("bucket", "ord", "__text").select("bucket", "doc_id", "__text")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, room: int = 1 << 18, block: int = 4096) -> str:
-    """Encode docs (doc_id, text) and write members in ascending doc_id order; the path of their table.
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, path: str, room: int = 1 << 18, block: int = 4096, members_a_file: int = 32) -> None:
+    """Encode docs (doc_id, text) and write files and their directory under path, in ascending doc_id order.
 
-    A null text is empty, a null id comes last, equal ids lie in the order of their texts. A member is closed at ``room``
-    ids, so only one very long text makes a larger one.
+    A null text is empty, a null id comes last, equal ids lie in the order of their texts, repeated rows are written each. A
+    member is closed at ``room`` ids and a file at ``members_a_file``, so only one very long text makes a larger one. An empty
+    table makes an empty directory.
     """
     bits = bits_for(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, member, before = None, 0, 0
+        bucket, member = None, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal member, before, held
+            nonlocal member, held
             ids, counts = np.concatenate([x[2] for x in held]), np.concatenate([x[1] for x in held])
-            data = image([i for x in held for i in x[0]], counts, ids, bits, block)
-            row = {"bucket": [bucket], "member": [member], "before": [before], "n_ids": [len(ids)], "image": [data]}
-            member, before, held = member + 1, before + len(ids), []
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("bucket", pa.int32()), ("member", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())]))
+            data = image([i for x in held for i in x[0]], counts, ids, bits, block, bucket, member)
+            member, held = member + 1, []
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["image"])
 
         for batch, ids, counts in encoded(batches, tokenizer, end):
             of = batch.column("bucket").to_numpy()
@@ -136,7 +147,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, roo
                 if of[at] != bucket:
                     if held:
                         yield close()
-                    bucket, member, before = int(of[at]), 0, 0
+                    bucket, member = int(of[at]), 0
                 left = room - sum(len(x[2]) for x in held)
                 to = max(at + 1, min(int(np.searchsorted(upto, upto[at] + left)), int(np.searchsorted(of, bucket, side="right"))))
                 held.append((names[at:to], counts[at:to], ids[upto[at] : upto[to]]))
@@ -146,24 +157,83 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, roo
         if held:
             yield close()
 
-    members = in_order(docs).mapInArrow(run, "bucket int, member int, before long, n_ids long, image binary")
-    return ws.write_table(members, "tokens")
+    # the text writer writes a string's bytes as they are
+    images = in_order(docs).mapInArrow(run, "image binary").select(F.col("image").cast("string").alias("value"))
+    images.write.option("maxRecordsPerFile", members_a_file).text(f"{path}/files")
+    directory(docs.sparkSession, path).write.parquet(f"{path}/directory")
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/files")
+
+
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    """file, place and size of each member, first (ids before it, over all files in order), its n_ids and n_docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows = [(name, at, m.size, m.bucket, m.member, m.n, len(m.counts)) for at, m in members(data.as_buffer())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    names = ["file", "place", "size", "bucket", "member", "n_ids", "n_docs"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    found = files(spark, path).select("path", "content").mapInArrow(run, "file string, place long, size long, bucket int, member int, n_ids long, n_docs long")
+    found = ws.cut(found, "members")
+    # a row a range of ids, and there are three ranges a shuffle partition: the broadcast is bounded
+    base = ws.bucket_offsets(found.groupBy("bucket").agg(F.sum("n_ids").alias("n")), "n")
+    before = F.coalesce(F.sum("n_ids").over(W.partitionBy("bucket").orderBy("member").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return found.withColumn("before", before).join(F.broadcast(base), "bucket").select("file", "place", "size", (F.col("base") + F.col("before")).alias("first"), "n_ids", "n_docs")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before it, over all files in order), n_tokens and ids (little-endian u32) of each document."""
-    members = spark.read.parquet(path)
-    base = ws.bucket_offsets(members.groupBy("bucket").agg(F.sum("n_ids").alias("n")), "n")
-    # a row a range, and there are three ranges a shuffle partition: broadcast is bounded
-    placed = members.join(F.broadcast(base), "bucket").select((F.col("base") + F.col("before")).alias("first"), "image")
+    places = spark.read.parquet(f"{path}/directory").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("place", "first"))).alias("firsts"))
+    # the two sides meet by file name; a row a file, with a pair of numbers for each of its few members
+    placed = files(spark, path).select(F.col("path").alias("file"), "content").join(places, "file").select("firsts", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data in zip(batch.column("first").to_pylist(), batch.column("image"), strict=True):
-                m = Member(data.as_py())
-                ids = m.ids().astype("<u4")
-                upto = np.concatenate([[0], np.cumsum(m.counts)])
-                raw = pa.Array.from_buffers(pa.large_binary(), len(m.counts), [None, pa.py_buffer((4 * upto).astype("int64").tobytes()), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(m.doc_ids, pa.int64()), pa.array(first + upto[:-1]), pa.array(m.counts), raw.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            for firsts, data in zip(batch.column("firsts").to_pylist(), batch.column("content"), strict=True):
+                first = dict(firsts)
+                for at, m in members(data.as_buffer()):
+                    upto = np.concatenate([[0], np.cumsum(m.counts)])
+                    raw = pa.Array.from_buffers(pa.large_binary(), len(m.counts), [None, pa.py_buffer((4 * upto).astype("int64").tobytes()), pa.py_buffer(m.ids().astype("<u4").tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(m.doc_ids, pa.int64()), pa.array(first[at] + upto[:-1]), pa.array(m.counts), raw.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+class Reader:
+    """ids(start, n) of files under path, by seeking: the directory tells the members, of which only blocks are read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.directory = spark, spark.read.parquet(f"{path}/directory")
+
+    def _stretch(self, file: str) -> Callable[[int, int], bytes]:
+        """(place, length) -> bytes of a file in any store that Spark reaches."""
+        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
+        target = jvm.org.apache.hadoop.fs.Path(file)
+        fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+
+        def at(place: int, n: int) -> bytes:
+            stream = fs.open(target)
+            try:
+                stream.seek(place)
+                return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+            finally:
+                stream.close()
+
+        return at
+
+    def ids(self, start: int, n: int) -> np.ndarray:
+        """The ids from number ``start`` on, ``n`` of them or as many as there are."""
+        touched = self.directory.where((F.col("first") < start + n) & (F.col("first") + F.col("n_ids") > start)).orderBy("first").collect()
+        out = [np.empty(0, "uint32")]
+        for row in touched:
+            read = self._stretch(row["file"])
+            m = Member(lambda at, size, read=read, base=row["place"]: read(base + at, size))
+            a = max(0, start - row["first"])
+            out.append(m.ids(a, start + n - row["first"] - a))
+        return np.concatenate(out)

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 MAX_ID = 2**63 - 1
+#: Rows in a range of ids, about the least.
+RANGE = 64
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -30,17 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return said.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str) -> str:
-    """Write df under the shared folder and return its path; it goes when the application ends."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; what is there goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
     return path
 
 
+def write_table(df: DataFrame, name: str) -> str:
+    """Write df under the shared folder and return its path."""
+    path = place(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing.
 
@@ -113,10 +120,10 @@ def bucket_of(bounds: np.ndarray, column):
 def by_ranges(df: DataFrame, parts: int | None = None, ord_col: str = "ord") -> DataFrame:
     """df with ``ord`` (a long) dealt by ranges: adds ``bucket``; one shuffle, partitions sorted by bucket, ord.
 
-    There are a few ranges for each partition, so that long texts even out.
+    There are a few ranges for each partition, so that long texts even out, but no smaller ones than of about RANGE rows.
     """
     n = parts or partitions(df.sparkSession)
-    bounds = id_bounds(df.select(ord_col), ord_col, 3 * n)
+    bounds = id_bounds(df.select(ord_col), ord_col, min(3 * n, df.count() // RANGE + 1))
     return df.withColumn("bucket", bucket_of(bounds, F.col(ord_col))).repartition(n, "bucket")
 
 

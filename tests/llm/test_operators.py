@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -73,15 +74,18 @@ def test_cached_ids_are_the_library_s(room):
         assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
-@pytest.mark.parametrize("bits", [1, 7, 16, 17, 20])
+@pytest.mark.parametrize("bits", [1, 7, 8, 16, 17, 20, 24])
 def test_members_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype("uint32")
-    m = token_files.Member(token_files.image([5, None], np.array([990, 10]), ids, bits, 64))
-    assert m.ids().tolist() == ids.tolist() and m.doc_ids == [5, None]
+    data = token_files.image([5, None], np.array([990, 10]), ids, bits, 64)
+    m = token_files.Member(token_files.in_memory(data))
+    assert m.ids().tolist() == ids.tolist() and m.doc_ids == [5, None] and m.size == len(data)
     for a, n in ((0, 1), (63, 2), (500, 130), (999, 5), (1000, 1)):
         assert m.ids(a, n).tolist() == ids[a : a + n].tolist()
     with pytest.raises(ValueError):
         token_files.image([1], np.array([1]), np.array([1 << bits], dtype="uint32"), bits, 64)
+    flags = (ids[:, None] >> np.arange(bits, dtype="uint32")) & 1 > 0  # whole bytes are copied, with the same result
+    assert token_files.pack(ids, bits) == np.packbits(flags, bitorder="little").tobytes()
 
 
 def encoded(end):
@@ -90,13 +94,24 @@ def encoded(end):
     return [(i, tok.encode(t, add_special_tokens=False).ids + [end]) for _, t, i in data]
 
 
-def test_token_files(spark, docs):
-    path = token_files.write_tokens(docs, BYTES, 2, BYTES_IDS, room=2000, block=100)
+def test_token_files(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    token_files.write_tokens(docs, BYTES, 2, BYTES_IDS, path, room=2000, block=100, members_a_file=2)
     got = [(r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in token_files.read_tokens(spark, path).orderBy("start").collect()]
-    at = 0
+    at, every = 0, []
     for (i, start, ids), (j, want) in zip(got, encoded(2), strict=True):
         assert (i, start, ids) == (j, at, want)
         at += len(want)
+        every += want
+    assert len([f for f in os.listdir(tmp_path / "tokens" / "files") if f.startswith("part-")]) > 1
+    read: list[int] = []
+    reader = token_files.Reader(spark, path)
+    stretch = reader._stretch
+    reader._stretch = lambda file: (lambda at, n, f=stretch(file): read.append(n) or f(at, n))
+    for a, n in ((0, 5), (1990, 30), (at - 3, 10), (at, 4), (0, at)):
+        read.clear()
+        assert reader.ids(a, n).tolist() == every[a : a + n]
+        assert n > 100 or sum(read) < 5000  # bytes: blocks and lists, not files
 
 
 def test_packing(docs):
@@ -124,21 +139,41 @@ def test_packing(docs):
     assert have == want
 
 
-def test_cuts_are_the_cheapest():
-    r = random.Random(5)
-    for _ in range(40):
-        at = np.cumsum([0] + [r.randint(1, 12) for _ in range(30)])
-        pen = np.array([0] + [r.choice([0, 2, 16]) for _ in range(29)] + [0])
-        width = 40
-        best = [0] + [10**9] * 30
-        for j in range(1, 31):
+@pytest.mark.parametrize("width", [40, 32, 2048])
+def test_cuts_are_the_cheapest(width):
+    r = random.Random(width)
+    unpadded = {1 << k for k in range(12) if 1 << k < width}
+    price = lambda n: 0 if n in unpadded else width - n
+    powers = 0
+    for _ in range(60):
+        step = max(1, width // 32)
+        at = np.cumsum([0] + [r.choice([step, 2 * step, r.randint(1, 12 * step)]) for _ in range(40)])
+        pen = np.array([0] + [r.choice([0, 2, 32]) for _ in range(39)] + [0])
+        best = [0] + [10**9] * 40
+        for j in range(1, 41):
             for i in range(j):
-                n = at[j] - at[i]
+                n = int(at[j] - at[i])
                 if n <= width:
-                    best[j] = min(best[j], best[i] + width - n + pen[j] + packing.SEQUENCE)
-        cuts = packing.best_cuts(at, pen, width)
-        k = np.searchsorted(at, cuts)
-        assert sum(width - (at[b] - at[a]) + pen[b] + packing.SEQUENCE for a, b in zip(k, k[1:])) == best[30]
+                    best[j] = min(best[j], best[i] + price(n) + pen[j] + packing.SEQUENCE)
+        k = np.searchsorted(at, packing.best_cuts(at, pen, width))
+        sizes = [int(at[b] - at[a]) for a, b in zip(k, k[1:])]
+        assert sum(price(n) + pen[b] + packing.SEQUENCE for n, b in zip(sizes, k[1:])) == best[40]
+        powers += sum(n in unpadded for n in sizes)
+    assert powers > 10
+
+
+def test_cuts_stand_after_sentences():
+    r = random.Random(4)
+    sentence_end = np.array([False] * 9 + [True])
+    for _ in range(10):
+        sizes = np.array([r.randint(1, 900) for _ in range(12)])
+        ids = np.array([r.choice([9, *[3] * 20]) for _ in range(sizes.sum())])
+        ids[300:460] = 3  # longer than a sequence
+        cuts = packing.pack_stream(ids, sizes, sentence_end, 128)
+        good = {0, *np.cumsum(sizes).tolist(), *(np.flatnonzero(ids == 9) + 1).tolist()}
+        long = [(a, b) for a, b in itertools.pairwise(sorted(good)) if b - a > 128]
+        assert long and all(c in good or any(a < c < b for a, b in long) for c in cuts.tolist())
+        assert (np.diff(cuts) <= 128).all() and (np.diff(cuts) > 0).all()
 
 
 def test_fingerprints(docs):
@@ -378,13 +413,14 @@ def test_media_query(docs):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], SCHEMA)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert token_counts.count_tokens(none, PIECES).count() == 0
     assert fingerprints.fingerprint_documents(none).count() == 0
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
-    assert token_files.read_tokens(spark, token_files.write_tokens(none, BYTES, 2, BYTES_IDS)).count() == 0
+    token_files.write_tokens(none, BYTES, 2, BYTES_IDS, f"file://{tmp_path}/none")
+    assert token_files.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
     assert near_dups.near_duplicates(none).count() == 0 and near_dups.without_near_duplicates(none).count() == 0
     assert substrings.dedup_substrings(none).count() == 0
     assert packing.pack_documents(none, BYTES, 1).count() == 0
