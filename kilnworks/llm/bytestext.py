@@ -172,8 +172,14 @@ class Words:
 
     @staticmethod
     def group(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first place, group of each string): one group for each distinct string, whatever their hashes."""
-        keys, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        """(hash, a place, group of each string): one group for each distinct string, whatever their hashes."""
+        h = word_hashes(data, starts, ends)
+        order = np.argsort(h)
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        first = order[new]
+        keys, back = h[first], np.empty(len(h), dtype="int64")
+        back[order] = np.cumsum(new) - 1
         wide, sizes = eights(data), ends - starts
         origin = first[back]
         strange = np.flatnonzero((sizes != sizes[origin]) | ~same_bytes(wide, starts, wide, starts[origin], np.minimum(sizes, sizes[origin])))

@@ -9,6 +9,7 @@ Cuts stand after documents and sentences alone, but for sentences that are longe
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kilnworks.llm.token_files import encoded, in_order
+from kilnworks.llm.workspace import MAX_ID
 
 #: Cost in tokens of a cut after a sentence, of one elsewhere in a text, and of any sequence.
 SENTENCE, INSIDE, SEQUENCE = 2, 32, 8
@@ -82,6 +84,7 @@ def padded(length: int, width: int = 2048) -> int:
     return length if length & (length - 1) == 0 else width
 
 
+@functools.cache
 def sentence_ends(path: str) -> np.ndarray:
     """For each id of a byte-level vocabulary: does its text end a sentence or a line?"""
     from tokenizers import Tokenizer
@@ -104,11 +107,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, width: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = sentence_ends(tokenizer)
         bucket, made, done = None, 0, 0  # done: ids of the first held document that are packed already
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def close(last: bool) -> pa.RecordBatch:
             nonlocal made, done, held
-            names = [i for x in held for i in x[0]]
+            names = np.concatenate([x[0] for x in held])
             sizes, ids = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
             left = sizes.copy()
             left[0] -= done
@@ -126,14 +129,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, width: int = 2048,
             done = int(cuts[-1] - upto[k])
             held = [(names[k:], sizes[k:], ids[upto[k] :])] if k < len(sizes) else []
             return pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in of.tolist()], pa.int64()), pa.array(begin - upto[of]), pa.array(size), raw, pa.array(sizes[of]), pa.array(first + seq), pa.array(begin - cuts[seq])],
+                [pa.array(names[of], pa.int64(), mask=names[of] == MAX_ID), pa.array(begin - upto[of]), pa.array(size), raw, pa.array(sizes[of]), pa.array(first + seq), pa.array(begin - cuts[seq])],
                 ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
         for batch, ids, counts in encoded(batches, tokenizer, end):
             of = batch.column("bucket").to_numpy()
             upto = np.concatenate([[0], np.cumsum(counts)])
-            names = batch.column("doc_id").to_pylist()
+            names = batch.column("doc_id").fill_null(MAX_ID).to_numpy()
             for at in np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist():
                 if of[at] != bucket:
                     if held:

@@ -1,15 +1,14 @@
 """Token ids in fixed-width bit-packed files.
 
-A member holds the ids of consecutive documents, each id in the fewest bits that the vocabulary needs. Its image is
+A file holds the ids of consecutive documents, each id in the fewest bits that the vocabulary needs. Its image is
 
-    magic 8 bytes | bits u32 | block u32 | bucket i32 | member i32 | documents u64 | ids u64 | bytes of the image u64
+    magic 8 bytes | bits u32 | block u32 | bucket u32 | member u32 | documents u64 | ids u64, all big-endian, then little-endian
     document ids i64 each | 1 byte each: has the document an id | ids of each document u64
     block offsets u64, one more than blocks | blocks, each on a byte border
 
-all little-endian. A file is a row of members, each followed by one line end, which is Spark's text writer's record mark: so
-Spark's committer publishes the files (a lost executor's are simply written again) in any store that it reaches. Beside them a
-directory table tells each member's file, place and first id, so any id is found from its number alone, by seeking to its
-member and unpacking one block.
+and a line end, which is the record mark of Spark's text writer: so Spark's committer publishes the files (a lost executor's
+are simply written again) in any store that it reaches. Beside them a directory table tells each file's first id, so any id is
+found from its number alone, by seeking in its file and unpacking one block.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from kilnworks.llm import workspace as ws
 from kilnworks.llm.vocab import CachedBpe
 
 MAGIC = b"KWTOKENS"
-HEAD = struct.Struct("<8sIIiiQQQ")
+HEAD = struct.Struct(">8sIIIIQQ")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -57,7 +56,7 @@ def image(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bits:
     blocks = [pack(ids[a : a + block], bits) for a in range(0, len(ids), block)]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype("<u8")
     body = [np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), np.array([x is not None for x in doc_ids], dtype="uint8").tobytes(), np.asarray(counts, dtype="<u8").tobytes(), offsets.tobytes(), *blocks]
-    return b"".join([HEAD.pack(MAGIC, bits, block, bucket, member, len(doc_ids), len(ids), HEAD.size + sum(map(len, body))), *body])
+    return b"".join([HEAD.pack(MAGIC, bits, block, bucket, member, len(doc_ids), len(ids)), *body])
 
 
 class Member:
@@ -68,7 +67,7 @@ class Member:
 
     def __init__(self, at: Callable[[int, int], bytes | memoryview]):
         self.at = at
-        magic, self.bits, self.block, self.bucket, self.member, docs, self.n, self.size = HEAD.unpack(at(0, HEAD.size))
+        magic, self.bits, self.block, self.bucket, self.member, docs, self.n = HEAD.unpack(at(0, HEAD.size))
         if magic != MAGIC:
             raise ValueError("no token member")
         blocks = -(-self.n // self.block)
@@ -89,18 +88,9 @@ class Member:
         return np.concatenate(got)[start - first * self.block : stop - first * self.block].astype("uint32")
 
 
-def in_memory(data: bytes | memoryview, start: int = 0) -> Callable[[int, int], memoryview]:
+def in_memory(data: bytes | memoryview) -> Callable[[int, int], memoryview]:
     view = memoryview(data)
-    return lambda at, n: view[start + at : start + at + n]
-
-
-def members(data: bytes | memoryview) -> Iterator[tuple[int, Member]]:
-    """(place, member) of a file's members."""
-    at = 0
-    while at < len(data):
-        m = Member(in_memory(data, at))
-        yield at, m
-        at += m.size + 1
+    return lambda at, n: view[at : at + n]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -118,12 +108,11 @@ def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return ws.by_ranges(own, parts).sortWithinPartitions("bucket", "ord", "__text").select("bucket", "doc_id", "__text")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, path: str, room: int = 1 << 18, block: int = 4096, members_a_file: int = 32) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, path: str, room: int = 1 << 20, block: int = 4096) -> None:
     """Encode docs (doc_id, text) and write files and their directory under path, in ascending doc_id order.
 
     A null text is empty, a null id comes last, equal ids lie in the order of their texts, repeated rows are written each. A
-    member is closed at ``room`` ids and a file at ``members_a_file``, so only one very long text makes a larger one. An empty
-    table makes an empty directory.
+    file is closed at ``room`` ids, so only one very long text makes a larger one. An empty table makes an empty directory.
     """
     bits = bits_for(vocabulary)
 
@@ -159,7 +148,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, pat
 
     # the text writer writes a string's bytes as they are
     images = in_order(docs).mapInArrow(run, "image binary").select(F.col("image").cast("string").alias("value"))
-    images.write.option("maxRecordsPerFile", members_a_file).text(f"{path}/files")
+    images.write.option("maxRecordsPerFile", 1).text(f"{path}/files")
     directory(docs.sparkSession, path).write.parquet(f"{path}/directory")
 
 
@@ -168,39 +157,33 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, path: str) -> DataFrame:
-    """file, place and size of each member, first (ids before it, over all files in order), its n_ids and n_docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = [(name, at, m.size, m.bucket, m.member, m.n, len(m.counts)) for at, m in members(data.as_buffer())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    names = ["file", "place", "size", "bucket", "member", "n_ids", "n_docs"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    found = files(spark, path).select("path", "content").mapInArrow(run, "file string, place long, size long, bucket int, member int, n_ids long, n_docs long")
-    found = ws.cut(found, "members")
+    """file, first (ids before it, over all files in order), n_ids and n_docs of each file, from the heads alone."""
+    number = lambda at, n: F.conv(F.hex(F.substring("content", at + 1, n)), 16, 10).cast("long")
+    fields = {"bucket": (16, 4), "member": (20, 4), "n_docs": (24, 8), "n_ids": (32, 8)}
+    found = ws.cut(files(spark, path).select(F.col("path").alias("file"), *(number(*x).alias(k) for k, x in fields.items())), "members")
     # a row a range of ids, and there are three ranges a shuffle partition: the broadcast is bounded
     base = ws.bucket_offsets(found.groupBy("bucket").agg(F.sum("n_ids").alias("n")), "n")
     before = F.coalesce(F.sum("n_ids").over(W.partitionBy("bucket").orderBy("member").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("before", before).join(F.broadcast(base), "bucket").select("file", "place", "size", (F.col("base") + F.col("before")).alias("first"), "n_ids", "n_docs")
+    return found.withColumn("before", before).join(F.broadcast(base), "bucket").select("file", (F.col("base") + F.col("before")).alias("first"), "n_ids", "n_docs")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before it, over all files in order), n_tokens and ids (little-endian u32) of each document."""
-    places = spark.read.parquet(f"{path}/directory").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("place", "first"))).alias("firsts"))
-    # the two sides meet by file name; a row a file, with a pair of numbers for each of its few members
-    placed = files(spark, path).select(F.col("path").alias("file"), "content").join(places, "file").select("firsts", "content")
+    ws.small_batches(spark)
+    first = spark.read.parquet(f"{path}/directory").select("file", "first")
+    placed = files(spark, path).select(F.col("path").alias("file"), "content").join(first, "file").select("first", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for firsts, data in zip(batch.column("firsts").to_pylist(), batch.column("content"), strict=True):
-                first = dict(firsts)
-                for at, m in members(data.as_buffer()):
+        try:
+            for batch in batches:
+                for first, data in zip(batch.column("first").to_pylist(), batch.column("content"), strict=True):
+                    m = Member(in_memory(data.as_buffer()))
                     upto = np.concatenate([[0], np.cumsum(m.counts)])
                     raw = pa.Array.from_buffers(pa.large_binary(), len(m.counts), [None, pa.py_buffer((4 * upto).astype("int64").tobytes()), pa.py_buffer(m.ids().astype("<u4").tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(m.doc_ids, pa.int64()), pa.array(first[at] + upto[:-1]), pa.array(m.counts), raw.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    out = pa.RecordBatch.from_arrays([pa.array(m.doc_ids, pa.int64()), pa.array(first + upto[:-1]), pa.array(m.counts), raw.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    yield from (out.slice(a, 1000) for a in range(0, out.num_rows, 1000))
+        finally:
+            bt.release()
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
@@ -233,7 +216,7 @@ class Reader:
         out = [np.empty(0, "uint32")]
         for row in touched:
             read = self._stretch(row["file"])
-            m = Member(lambda at, size, read=read, base=row["place"]: read(base + at, size))
+            m = Member(read)
             a = max(0, start - row["first"])
             out.append(m.ids(a, start + n - row["first"] - a))
         return np.concatenate(out)

@@ -79,7 +79,7 @@ def test_members_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype("uint32")
     data = token_files.image([5, None], np.array([990, 10]), ids, bits, 64)
     m = token_files.Member(token_files.in_memory(data))
-    assert m.ids().tolist() == ids.tolist() and m.doc_ids == [5, None] and m.size == len(data)
+    assert m.ids().tolist() == ids.tolist() and m.doc_ids == [5, None]
     for a, n in ((0, 1), (63, 2), (500, 130), (999, 5), (1000, 1)):
         assert m.ids(a, n).tolist() == ids[a : a + n].tolist()
     with pytest.raises(ValueError):
@@ -96,7 +96,7 @@ def encoded(end):
 
 def test_token_files(spark, docs, tmp_path):
     path = f"file://{tmp_path}/tokens"
-    token_files.write_tokens(docs, BYTES, 2, BYTES_IDS, path, room=2000, block=100, members_a_file=2)
+    token_files.write_tokens(docs, BYTES, 2, BYTES_IDS, path, room=2000, block=100)
     got = [(r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in token_files.read_tokens(spark, path).orderBy("start").collect()]
     at, every = 0, []
     for (i, start, ids), (j, want) in zip(got, encoded(2), strict=True):
