@@ -105,8 +105,8 @@ FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype="uint64")
 LONG = 64
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 17) -> np.ndarray:
-    """A 64-bit hash of each word's bytes.
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, stretch: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; another one for each seed.
 
     Words of up to LONG bytes are mixed 8 bytes at a time, each step a bijection of what came before, so words of up to 8 bytes
     of one length never collide; longer words are hashed by BLAKE2b. Worked through in stretches of so many words.
@@ -116,7 +116,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch:
     with np.errstate(over="ignore"):
         for at in range(0, len(starts), stretch):
             a, n = starts[at : at + stretch], (ends - starts)[at : at + stretch]
-            h = mix((n.astype("uint64") * STEP) ^ (wide[a] & FIRST[np.minimum(n, 8)]))
+            h = mix((n.astype("uint64") * STEP + np.uint64(seed) * MIX_A) ^ (wide[a] & FIRST[np.minimum(n, 8)]))
             more, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
             while len(more):
                 h[more] = mix(h[more] * BASE + (wide[a[more] + k] & FIRST[np.minimum(n[more] - k, 8)]))
@@ -125,8 +125,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch:
             out[at : at + stretch] = h
     long = np.flatnonzero(ends - starts > LONG)
     if len(long):
-        raw = memoryview(np.ascontiguousarray(data))
-        own = b"".join(hashlib.blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        raw, key = memoryview(np.ascontiguousarray(data)), seed.to_bytes(8, "little")
+        own = b"".join(hashlib.blake2b(raw[x:y], digest_size=8, key=key).digest() for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
         out[long] = np.frombuffer(own, dtype="<u8")
     return out
 
@@ -171,9 +171,9 @@ class Words:
         return len(self.sizes)
 
     @staticmethod
-    def group(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def group(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, a place, group of each string): one group for each distinct string, whatever their hashes."""
-        h = word_hashes(data, starts, ends)
+        h = word_hashes(data, starts, ends, seed)
         order = np.argsort(h)
         new = np.ones(len(h), dtype=bool)
         new[1:] = h[order[1:]] != h[order[:-1]]
@@ -188,7 +188,7 @@ class Words:
             for i in strange.tolist():
                 back[i] = of.setdefault(raw[starts[i] : ends[i]], len(keys) + len(of))
             extra = np.array([np.flatnonzero(back == g)[0] for g in of.values()], dtype="int64")
-            keys, first = np.concatenate([keys, keys[np.searchsorted(keys, word_hashes(data, starts[extra], ends[extra]))]]), np.concatenate([first, extra])
+            keys, first = np.concatenate([keys, keys[np.searchsorted(keys, word_hashes(data, starts[extra], ends[extra], seed))]]), np.concatenate([first, extra])
         return keys, first, back
 
     def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
