@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 The words of a source's documents, in a fixed order, are one stream cut into blocks of equal length. Each source gets as many
-slots as its target needs; they are drawn over the output shards by a multinomial, so every shard holds the sources in about
-the target proportions. Slot j of a source takes block p(j mod n) of its n blocks, p being a keyed permutation of the indices,
-another one each time round. Blocks and documents meet by block index.
+slots as its target needs. The slots of all sources are dealt to output shards of equal size: how many of a shard's slots each
+source has is drawn by a multinomial, conditioned on the sources' totals, so that targets are met. A shard's slots of a source
+follow those of the shard before, and slot j takes block p(j mod n) of the source's n blocks, p being a keyed permutation of
+the indices, another one each time round. Blocks and documents meet by block index.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from kilnworks.llm import bytestext as bt
@@ -20,8 +21,8 @@ from kilnworks.llm import workspace as ws
 
 #: Weights by the sources' order, repeating; words wanted in all as a share of those there; most passes over a source.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: Words in a block; slots that an output shard holds on average, and the most shards.
-BLOCK, SHARD_SLOTS, SHARDS = 64, 1 << 14, 4096
+#: Words in a block, slots in an output shard, and the most sources: each has one weight, and tasks get a few numbers of each.
+BLOCK, SHARD_SLOTS, SOURCES = 64, 1 << 12, 1 << 20
 
 
 def shuffled(r: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -46,18 +47,23 @@ def shuffled(r: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarr
     return x.astype("int64")
 
 
+def row_id(docs: DataFrame) -> Column:
+    """128 bits of hash that tell a row of docs from unequal ones; equal rows share them."""
+    own = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and row: a hash of the whole row that identifies it (equal rows share it)."""
+    """doc_id, source, size in words, and row, which identifies it (equal rows share it)."""
     ws.small_batches(docs.sparkSession)
-    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*hashable).alias("row"), F.col("text").alias("__text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), row_id(docs).alias("row"), F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.pieces(batches, "__text"):
             counts = bt.words(*bt.flat(batch.column("__text")))[2]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("row"), pa.array(counts, pa.int64())], ["doc_id", "source", "row", "size"])
 
-    return own.mapInArrow(run, "doc_id long, source string, row long, size long")
+    return own.mapInArrow(run, "doc_id long, source string, row struct<a:long,b:long>, size long")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -91,85 +97,126 @@ def placed_documents(sizes: DataFrame) -> DataFrame:
     return d.join(base, ["sid", "part"]).select("doc_id", "source", "row", "size", "sid", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def draw_slots(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+def slots_of(size: int, target: float) -> tuple[int, int, int, int]:
+    """(blocks, full passes, words of the last pass, slots) of a source."""
+    want, n = round(target), -(-size // BLOCK)
+    full, rest = divmod(want, size)
+    return n, full, rest, full * n + min(n, -(-rest // BLOCK) + (rest > 0))
+
+
+def drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Hypergeometric: how many of n, taken without replacement, are good. Beyond what numpy draws, by its normal limit."""
+    if good + bad < 10**9:
+        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    share = good / (good + bad)
+    spread = (n * share * (1 - share) * (good + bad - n) / (good + bad - 1)) ** 0.5
+    return min(max(round(rng.normal(n * share, spread)), n - bad, 0), good, n)
+
+
+def shard_counts(slots: list[int], size: int, first: int, last: int, seed: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(shard, slots of each source in shards before, in it) of the shards from first up to last.
+
+    Shards hold ``size`` slots, the last one the rest. A multinomial for each shard, conditioned on the sources' totals, deals
+    the slots without replacement. It is drawn down a binary tree over the shards, each node's draw, how many of its slots the
+    left half gets, from a generator of its own: so any task draws only the nodes above its shards, and all agree.
+    """
+    total = sum(slots)
+    shards = -(-total // size)
+    stack = [(0, shards, [0] * len(slots), list(slots))]
+    while stack:
+        lo, hi, before, own = stack.pop()
+        if lo >= last or hi <= first or lo >= hi:
+            continue
+        if hi - lo == 1:
+            yield lo, before, own
+            continue
+        mid = (lo + hi) // 2
+        rng = np.random.default_rng([seed, lo, hi])
+        left, rest = (mid - lo) * size, sum(own)
+        taken = []
+        for c in own:
+            rest -= c
+            taken.append(drawn(rng, c, rest, left))
+            left -= taken[-1]
+        stack.append((mid, hi, [a + t for a, t in zip(before, taken, strict=True)], [c - t for c, t in zip(own, taken, strict=True)]))
+        stack.append((lo, mid, before, taken))
+
+
+def draw_slots(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """sid, shard, slot, epoch, block and take of each slot: so many first words of that block.
 
     Full epochs take every block once; the last one takes blocks until the target, rounded, is reached, the last slot in part.
     """
-
-    def plan(size: int, target: float) -> tuple[int, int, int, int]:
-        want, n = round(target), -(-size // BLOCK)
-        full, rest = divmod(want, size)
-        return n, full, rest, full * n + min(n, -(-rest // BLOCK) + (rest > 0))
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sid, size, target in zip(*(batch.column(c).to_pylist() for c in ("sid", "source_size", "target")), strict=True):
-                if not size or round(target) < 1:
-                    continue
-                slots = plan(size, target)[3]
-                drawn = np.random.default_rng([seed, sid % 2**64]).multinomial(slots, np.full(shards, 1 / shards))
-                first = np.concatenate([[0], np.cumsum(drawn)[:-1]])
-                used = np.flatnonzero(drawn)
-                k = len(used)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sid] * k, pa.int64()), pa.array([size] * k, pa.int64()), pa.array([target] * k, pa.float64()), pa.array(used.astype("int32")), pa.array(first[used]), pa.array(drawn[used])],
-                    ["sid", "source_size", "target", "shard", "first", "n"],
-                )
+    spark = sources.sparkSession
+    rows = sources.where("source_size > 0").select("sid", "source_size", "target").orderBy("sid").limit(SOURCES + 1).collect()
+    if len(rows) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources: targets by weight need fewer")
+    known = [(r["sid"], r["source_size"], *slots_of(r["source_size"], r["target"])) for r in rows if round(r["target"]) > 0]
+    slots = [k[5] for k in known]
+    shards = -(-sum(slots) // shard_slots)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sid, size, target, shard, first, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, full, rest, _ = plan(size, target)
-                slot = np.arange(first, first + k)
-                epoch, r = slot // n, slot % n
-                block, take = np.empty(k, "int64"), np.empty(k, "int64")
-                for e in np.unique(epoch).tolist():
-                    own = epoch == e
-                    key = int(bt.mix(np.array([sid % 2**64], dtype="uint64") + np.uint64((seed * 1_000_003 + e) % 2**64))[0])
-                    block[own] = shuffled(r[own], n, key)
-                    length = np.minimum(BLOCK, size - block[own] * BLOCK)
-                    if e == full:
-                        short = int(shuffled(np.array([n - 1]), n, key, inverse=True)[0])
-                        before = r[own] * BLOCK - (r[own] > short) * (n * BLOCK - size)
-                        length = np.clip(rest - before, 0, length)
-                    take[own] = length
-                used = take > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(used.sum(), sid)), pa.array(np.full(used.sum(), shard, "int32")), *(pa.array(x[used]) for x in (slot, epoch, block, take))], ["sid", "shard", "slot", "epoch", "block", "take"])
-
-    drawn = sources.select("sid", "source_size", "target").mapInArrow(counts, "sid long, source_size long, target double, shard int, first long, n long")
-    return drawn.repartition(ws.partitions(sources.sparkSession), "sid", "shard").mapInArrow(expand, "sid long, shard int, slot long, epoch long, block long, take long")
-
-
-def mix_pieces(sizes: DataFrame, sources: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with their places, pieces of documents in slots: sid, start, epoch, block, first and last word in the text)."""
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    shards = int(min(SHARDS, max(1, total // (BLOCK * SHARD_SLOTS))))
+            ids = batch.column("id").to_numpy()
+            for part in np.split(ids, np.flatnonzero(np.diff(ids) != 1) + 1) if len(ids) else ():
+                for shard, before, own in shard_counts(slots, shard_slots, int(part[0]), int(part[-1]) + 1, seed):
+                    made = [slots_in(known[i], before[i], k) for i, k in enumerate(own) if k]
+                    sid, slot, epoch, block, take = (np.concatenate(x) for x in zip(*made, strict=True))
+                    used = take > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(x[used]) for x in (sid, np.full(len(sid), shard), slot, epoch, block, take)], ["sid", "shard", "slot", "epoch", "block", "take"])
+
+    def slots_in(source: tuple, first: int, k: int) -> tuple[np.ndarray, ...]:
+        sid, size, n, full, rest, _ = source
+        slot = np.arange(first, first + k)
+        epoch, r = slot // n, slot % n
+        block, take = np.empty(k, "int64"), np.empty(k, "int64")
+        for e in np.unique(epoch).tolist():
+            own = epoch == e
+            with np.errstate(over="ignore"):
+                key = int(bt.mix(np.array([sid % 2**64], dtype="uint64") + np.uint64((seed * 1_000_003 + e) % 2**64))[0])
+            block[own] = shuffled(r[own], n, key)
+            length = np.minimum(BLOCK, size - block[own] * BLOCK)
+            if e == full:
+                short = int(shuffled(np.array([n - 1]), n, key, inverse=True)[0])
+                before = r[own] * BLOCK - (r[own] > short) * (n * BLOCK - size)
+                length = np.clip(rest - before, 0, length)
+            take[own] = length
+        return np.full(k, sid), slot, epoch, block, take
+
+    parts = max(1, min(shards, ws.partitions(spark)))
+    return spark.range(0, shards, 1, parts).mapInArrow(expand, "sid long, shard long, slot long, epoch long, block long, take long")
+
+
+def mix_pieces(sizes: DataFrame, sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(documents with their places, pieces of documents in slots: sid, start, shard, epoch, block, first and last word in the text)."""
     docs = placed_documents(sizes)
     last = F.expr(f"(start + size - 1) div {BLOCK}")
     blocks = docs.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(F.expr(f"start div {BLOCK}"), last)).alias("block"))
-    slots = draw_slots(sources, shards, seed)
+    slots = draw_slots(sources, seed, shard_slots)
     at = F.col("block") * BLOCK
     # a few rows of draws become all slots, which no size estimate foresees: never broadcast them
     pieces = blocks.join(slots.hint("merge"), ["sid", "block"]).select(
-        "sid", "start", "epoch", "block", F.greatest(F.lit(0), at - F.col("start")).alias("a"), (F.least(F.col("start") + F.col("size"), at + F.col("take")) - F.col("start")).alias("b")
+        "sid", "start", "shard", "epoch", "block", F.greatest(F.lit(0), at - F.col("start")).alias("a"), (F.least(F.col("start") + F.col("size"), at + F.col("take")) - F.col("start")).alias("b")
     )
     return docs, pieces.where("b > a")
 
 
-def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each row of docs (doc_id, text, source).
+def mix(docs: DataFrame, seed: int = 7, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """doc_id, size, source_size, target, taken and shards of each row of docs (doc_id, text, source).
 
-    A null text has no words, a null source is a source of its own, and a source without words has target 0. Equal rows have
-    places of their own in the stream. The same docs and seed give the same mix. No text is shuffled.
+    shards lists the output shards that take words of the row, and how many, as shard:words, in order. A null text has no words,
+    a null source is a source of its own, and a source without words has target 0. Equal rows have places of their own in the
+    stream. The same docs and seed give the same mix. No text is shuffled.
     """
     sizes = ws.cut(word_counts(docs), "sizes")
     sources = ws.cut(source_targets(sizes), "sources")
-    placed, pieces = mix_pieces(sizes, sources, seed)
-    taken = pieces.groupBy("sid", "start").agg(F.sum(F.col("b") - F.col("a")).alias("taken"))
-    got = placed.where("size > 0").join(taken, ["sid", "start"], "left").select("doc_id", "size", "sid", "taken")
-    got = got.unionByName(sizes.where("size = 0").select("doc_id", "size", F.xxhash64("source").alias("sid"), F.lit(None).cast("long").alias("taken")))
-    return got.join(sources, "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    placed, pieces = mix_pieces(sizes, sources, seed, shard_slots)
+    taken = pieces.groupBy("sid", "start", "shard").agg(F.sum(F.col("b") - F.col("a")).alias("n"))
+    one = F.sort_array(F.collect_list(F.struct("shard", "n")))
+    taken = taken.groupBy("sid", "start").agg(F.sum("n").alias("taken"), F.array_join(F.transform(one, lambda x: F.concat_ws(":", x["shard"], x["n"])), ",").alias("shards"))
+    got = placed.where("size > 0").join(taken, ["sid", "start"], "left").select("doc_id", "size", "sid", "taken", "shards")
+    none = sizes.where("size = 0").select("doc_id", "size", F.xxhash64("source").alias("sid"), F.lit(None).cast("long").alias("taken"), F.lit(None).cast("string").alias("shards"))
+    return got.unionByName(none).join(sources, "sid").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("shards", F.lit("")).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -184,8 +231,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     spans = pieces.groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("epoch", "a", "b"))).alias("spans"))
     rows = placed.where("size > 0").join(spans, ["sid", "start"]).select("row", "size", "spans")
     rows = rows.unionByName(sizes.where("size = 0").select("row", "size", F.lit(None).cast(rows.schema["spans"].dataType).alias("spans")))
-    hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    whole = docs.withColumn("__row", F.xxhash64(*hashable)).dropDuplicates(["__row"])
+    whole = docs.withColumn("__row", row_id(docs)).dropDuplicates(["__row"])
     joined = whole.join(rows.select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("spans").alias("__spans")), "__row").drop("__row")
     names = [c for c in joined.columns if c not in ("__size", "__spans")]
 
