@@ -127,15 +127,17 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and text of each of these nodes, once."""
-    texts = docs.select(F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    return ws.cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    """node and text of each of these nodes (node, ord), once: that of the row of this ord, so copies of a text never meet."""
+    texts = docs.select(F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("node"), ws.id_order().alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
+    return ws.cut(texts.join(nodes, ["node", "ord"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b) whose texts' shingle sets have a Jaccard similarity of ALIKE or more."""
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    both = right.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
+    # one text may be in a great share of the pairs, on either side
+    right = ws.salted_join(pairs, texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b", "a")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+    both = ws.salted_join(right, left, "a", "b", counts=pairs.groupBy("a").count()).select("a", "b", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, np.empty(0, "uint64")
@@ -171,30 +173,48 @@ def heads_of(open_rows: DataFrame, heads: int) -> DataFrame:
     return h.select("key", "h.node", "h.n", "h.root", "h.sketch").distinct()
 
 
+def parts_of(c: str) -> Column:
+    """In how many parts a bucket of c rows is compared."""
+    return F.ceil(F.col(c) / (16 * BLOCK)).cast("int")
+
+
+def may_be_alike() -> Column:
+    """Do sizes and sketches of m and h, of different groups, allow the similarity?"""
+    return (F.col("m.root") != F.col("h.root")) & (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", REGISTERS // 16)
+
+
 def candidate_pairs(members: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity."""
-    m, h = members.alias("m"), heads.alias("h")
-    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.root") != F.col("h.root"))
-    near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", REGISTERS // 16)
+    """Pairs (a, b) of a bucket's heads with its members of other groups whose sizes and sketches allow the similarity.
+
+    A large bucket's members are dealt over several tasks, and its few heads sent to each.
+    """
+    sizes = members.select("key", "parts").distinct()
+    h = heads.join(sizes, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("h")
+    m = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("m")
+    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.part") == F.col("h.part")) & may_be_alike()
     return m.join(h, near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
 
 
 def cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of members of a bucket in different groups whose sizes and sketches allow the similarity.
 
-    All rows of a bucket meet all, in blocks: a row is dealt to one block as b and sent to every block as a, so no task
-    compares more than about BLOCK rows with a bucket at a time. A pair that meets in several buckets is made in the
-    first of them alone.
+    Of two members of different groups one is outside the bucket's largest group: such rows meet all rows, in a grid of blocks,
+    so no task compares more than about BLOCK of them with 16 BLOCK others, and a bucket of one great group and few strangers
+    costs their number times its size, not its square. A pair that meets in several buckets is made in the first alone.
     """
-    sizes = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mixed = members.join(sizes.where("low <> high").select("key", "blocks"), "key")
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    sizes = groups.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.max("c").alias("most"), F.sum("c").alias("c"), F.count("*").alias("groups"))
+    sizes = sizes.where("groups > 1").select("key", "main", parts_of("c").alias("parts"), F.ceil((F.col("c") - F.col("most")) / BLOCK).cast("int").alias("blocks"))
+    mixed = members.drop("parts").join(sizes, "key")
     mixed = ws.cut(mixed.join(mixed.groupBy("node").agg(F.collect_set("key").alias("keys")), "node"), "mixed")
-    one = mixed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("h")
-    every = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("m")
-    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.block") == F.col("h.block")) & (F.col("m.node") < F.col("h.node")) & (F.col("m.root") != F.col("h.root"))
-    near &= (F.least("m.n", "h.n") >= ALIKE * F.greatest("m.n", "h.n")) & plausible("m.sketch", "h.sketch", REGISTERS // 16)
+    deal = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    few = mixed.where("root <> main").withColumn("block", deal("blocks")).withColumn("part", every("parts")).alias("h")
+    all_ = mixed.withColumn("part", deal("parts")).withColumn("block", every("blocks")).alias("m")
+    near = (F.col("m.key") == F.col("h.key")) & (F.col("m.block") == F.col("h.block")) & (F.col("m.part") == F.col("h.part")) & may_be_alike()
+    near &= (F.col("m.root") == F.col("m.main")) | (F.col("m.node") < F.col("h.node"))
     near &= F.col("m.key") == F.array_min(F.array_intersect("m.keys", "h.keys"))
-    return every.join(one.hint("merge"), near).select(F.col("m.node").alias("a"), F.col("h.node").alias("b"))
+    return all_.join(few.hint("merge"), near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
 
 
 def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -209,14 +229,14 @@ def link_roots(sigs: DataFrame, docs: DataFrame, rounds: tuple[int, ...] = (1, 4
     bucket of one group costs a pair for each member. Last, in each bucket that still holds several groups, all members are
     compared, by their sketches, with all of other groups: two groups may be linked by members that are nobody's head.
     """
-    one = sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    one = sigs.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("ord").alias("ord"))
     one = ws.cut(one, "nodes")
     rows = one.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", parts_of("c").alias("parts"))
     members = ws.cut(rows.join(shared.hint("merge"), "key"), "shared").join(one.select("node", "n", "sketch", F.col("node").alias("root")).hint("merge"), "node")
     members = ws.cut(members, "members")
-    texts = texts_of(members.select("node").distinct(), docs)
-    columns = ["key", "node", "n", "root", "sketch"]
+    texts = texts_of(one.select("node", "ord").join(members.select("node").distinct(), "node"), docs)
+    columns = ["key", "parts", "node", "n", "root", "sketch"]
     found, done, open_rows, everyone = None, None, members, members
     for heads in rounds:
         top = ws.cut(heads_of(open_rows, heads), "heads")
@@ -250,7 +270,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = ws.cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        old, e = e, ws.cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        ws.done(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -268,8 +289,9 @@ def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[Data
     sigs = ws.cut(signed(docs, bands, rows), "signatures")
     roots = link_roots(sigs, docs)
     of = sigs.groupBy("node").agg(F.min("ord").alias("ord")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = ws.cut(of, "rooted")
     least = of.groupBy("root").agg(F.min(F.struct("ord", "node")).alias("least"))
-    return sigs.select("ord", "node"), of.join(least, "root").select("node", "root", F.col("least.ord").alias("class_id"), F.col("least.node").alias("head"))
+    return sigs.select("ord", "node"), ws.salted_join(of, least, "root", "node").select("node", "root", F.col("least.ord").alias("class_id"), F.col("least.node").alias("head"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -282,9 +304,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows, of = classes(docs)
     sized = ws.cut(of.select("node", "root", "class_id"), "classes")
-    sized = sized.join(sized.groupBy("root").agg(F.count("*").alias("n_texts")), "root")
+    sized = ws.cut(ws.salted_join(sized, sized.groupBy("root").agg(F.count("*").alias("n_texts")), "root", "node"), "sized")
     back = lambda c: F.when(F.col(c) != ws.MAX_ID, F.col(c)).alias({"ord": "doc_id"}.get(c, c))
-    return rows.join(sized, "node").select(back("ord"), back("class_id"), "n_texts")
+    return ws.salted_join(rows, sized, "node", "ord").select(back("ord"), back("class_id"), "n_texts")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

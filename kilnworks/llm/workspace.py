@@ -56,12 +56,41 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = write_table(df, name)
     out = spark.read.schema(df.schema).parquet(path)
+    out._place = path
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+#: A key with more than one row in so many is dealt over several tasks by salted_join; so there are fewer such keys than this.
+MANY = 4096
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """big joined with small (a row or few for each key) where one key may have a great share of big's rows.
+
+    Rows of such a key are dealt by ``spread`` over as many tasks as their number asks for, and small's rows of it are sent to
+    each. Which keys these are is counted over all rows: fewer than MANY can be, so their list is broadcast. big is read
+    twice, so it should be a table; counts (key, count) may come from elsewhere.
+    """
+    counts = counts if counts is not None else big.groupBy(key).count()
+    total = counts.agg(F.sum("count").alias("__all"), F.count("*").alias("__keys"))
+    share = F.greatest(F.lit(1), F.col("__all") / MANY)
+    hot = counts.join(F.broadcast(total)).where(F.col("count") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("count") / share).cast("int").alias("__parts"))
+    hot = cut(hot.where("__parts > 1"), "hot")
+    salted = big.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")), F.lit(0)).cast("int"))
+    every = small.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    return salted.drop("__hot", "__parts").join(every.drop("__hot", "__parts"), [key, "__salt"], how).drop("__salt")
+
+
+def done(*tables: DataFrame) -> None:
+    """Delete tables that cut() made and that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_place", None):
+            drop_table(df.sparkSession, path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
