@@ -24,14 +24,18 @@ OPAQUE = r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{32,}={0,
 SHORT_HEX = r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])[0-9a-f]{16,23}(?![0-9A-Za-z])"
 #: Kinds in their order; the first three are the base.
 KINDS = ("assign", "access", "hex", "ident", "endpoint", "weak")
+#: Matches in a stretch.
+STRETCH = 128
 #: Code points within which parts belong to one scope.
 SCOPE = 200
 
 
-def found(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0) -> Column:
+def found(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0, holds: tuple[str, ...] = ()) -> Column:
     """Spans (start, kind, end, ok) in code points of the leftmost non-overlapping matches; ok: the group has ``least``.
 
-    Spark has no function for positions, but the pieces between the matches have lengths.
+    Spark has no function for positions, but the pieces between the matches have lengths. They are summed up in stretches of
+    STRETCH matches, then over the stretches, as each sum copies the list it adds to. A match holds one of ``holds``: a text
+    without them is not searched.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
@@ -45,8 +49,25 @@ def found(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0)
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), (F.length(x["value"]) >= least).alias("ok"))
         return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    spans = F.aggregate(steps, begin, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{kind_type}>"))
+    def stretches(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int")), lambda i: F.aggregate(F.slice(steps, i * STRETCH + 1, F.lit(STRETCH)), begin, step))
+
+    def bases(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(parts, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def moved(part: Column, base: Column) -> Column:
+        return F.transform(part["out"], lambda s: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end"), s["ok"].alias("ok")))
+
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  value is computed once in f
+    spans = once(steps, lambda st: once(stretches(st), lambda parts: F.flatten(F.zip_with(parts, bases(parts), moved))))
+    there = text.rlike(pattern)
+    for x in holds[:1]:
+        any_ = text.contains(x)
+        for y in holds[1:]:
+            any_ |= text.contains(y)
+        there = any_ & there
+    return F.when(there, spans).otherwise(F.array().cast(f"array<{kind_type}>"))
 
 
 def written(spans: Column) -> Column:
@@ -65,11 +86,11 @@ def scan(docs: DataFrame) -> DataFrame:
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select(
         "doc_id",
         F.sha2("t", 256).alias("digest"),
-        found(F.col("t"), ASSIGN, 0, ASSIGN_LEAST, 2).alias("assign"),
-        found(F.col("t"), ACCESS, 1).alias("access"),
+        found(F.col("t"), ASSIGN, 0, ASSIGN_LEAST, 2, (":", "=")).alias("assign"),
+        found(F.col("t"), ACCESS, 1, holds=("AKIA",)).alias("access"),
         found(F.col("t"), HEX, 2).alias("hex"),
-        found(F.col("t"), IDENT, 3).alias("ident"),
-        found(F.col("t"), ENDPOINT, 4).alias("endpoint"),
+        found(F.col("t"), IDENT, 3, holds=(":", "=")).alias("ident"),
+        found(F.col("t"), ENDPOINT, 4, holds=("://",)).alias("endpoint"),
         found(F.col("t"), OPAQUE, 5).alias("opaque"),
         found(F.col("t"), SHORT_HEX, 5).alias("short"),
     )
@@ -97,16 +118,21 @@ def linked(scanned: DataFrame) -> DataFrame:
     near &= (F.col("s.end") <= F.col("p.start")) | (F.col("s.start") >= F.col("p.end"))
     weak = s.where("s.kind = 5").join(p, near, "left_semi").select("digest", "start", "kind", "end")
     known = p.where("p.kind > 1").join(s, near, "left_semi").select("digest", "start", "kind", "end").distinct()
-    return weak.unionByName(known).groupBy("digest").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
+    more = ws.cut(weak.unionByName(known), "linked")
+    # a span inside a base one says nothing new: both are sent to the stretches that they touch
+    touched = lambda df: df.withColumn("cell", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("end")))))
+    base = touched(one.select("digest", F.explode("base").alias("s")).select("digest", *span)).alias("b")
+    m = touched(more).alias("m")
+    over = (F.col("m.digest") == F.col("b.digest")) & (F.col("m.cell") == F.col("b.cell")) & (F.col("m.start") < F.col("b.end")) & (F.col("m.end") > F.col("b.start"))
+    inside = m.join(base, over, "left_semi").select("digest", "start", "kind", "end").distinct()
+    return more.join(inside, ["digest", "start", "kind", "end"], "left_anti").groupBy("digest").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest, base (spans) and spans (base ones and those linked) of each row."""
     scanned = scan(docs)
-    both = scanned.select("doc_id", "digest", "base").join(linked(scanned), "digest", "left")
-    # a weak span inside a base one says nothing new
-    more = F.filter(F.coalesce("more", F.array().cast(both.schema["base"].dataType)), lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (m["end"] > b["start"])))
-    return both.select("doc_id", "digest", "base", F.concat("base", more).alias("spans"))
+    both = ws.salted_join(scanned.select("doc_id", "digest", "base"), linked(scanned), "digest", "doc_id", "left")
+    return both.select("doc_id", "digest", "base", F.concat("base", F.coalesce("more", F.array().cast(both.schema["base"].dataType))).alias("spans"))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -123,9 +149,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret span (base or weak) of the text replaced by the mark; n_chars, if there, set anew. No row goes."""
-    spans = all_spans(docs).groupBy("digest").agg(F.first("spans").alias("__spans")).select(F.col("digest").alias("__digest"), F.filter("__spans", lambda s: ~s["kind"].isin(3, 4)).alias("__spans"))
-    hit = spans.where("size(__spans) > 0")
-    keyed = docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).join(hit, "__digest", "left").drop("__digest")
+    every = ws.cut(all_spans(docs).select("digest", F.filter("spans", lambda s: ~s["kind"].isin(3, 4)).alias("__spans")), "spans")
+    hit = every.where("size(__spans) > 0").groupBy(F.col("digest").alias("__digest")).agg(F.first("__spans").alias("__spans"))
+    keyed = docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).withColumn("__spread", ws.id_order())
+    counts = every.groupBy(F.col("digest").alias("__digest")).count()
+    keyed = ws.salted_join(keyed, hit, "__digest", "__spread", "left", counts).drop("__digest", "__spread")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

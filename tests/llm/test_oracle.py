@@ -35,3 +35,16 @@ def test_sql_and_query_give_the_same_rows(spark, tmp_path, name, empty):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
+
+
+def test_many_secrets_in_one_text(spark, tmp_path):
+    r = random.Random(3)
+    long = [" ".join(r.choice([*SECRETS, "word", "1234"]) for _ in range(n)) for n in (700, 128, 129, 1)]
+    rows = [(i, t) for i, t in enumerate(long * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op9_secrets"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(queries.oracle_sql()["op9_secrets"])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(x) for x in got.select(*columns).collect()) == sorted(want.fetchall())
