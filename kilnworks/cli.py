@@ -12,7 +12,7 @@ from kilnworks.functions.columns import parse_size_text
 from kilnworks.operators import graph
 from kilnworks.plans.engine import Engine, Node, critical_path
 from kilnworks.sources import manifest
-from kilnworks.sources.store import Store
+from kilnworks.sources.store import Store, Tiered
 
 
 def main(args: list[str] | None = None) -> int:
@@ -24,11 +24,16 @@ def main(args: list[str] | None = None) -> int:
         if verb == "build":
             v.add_argument("--store", default=".kilnworks")
             v.add_argument("--workers", type=int, default=os.cpu_count() or 1)
+            v.add_argument("--sequential", action="store_true", help="one node at a time, in the smallest order")
             v.add_argument("--keep-going", action="store_true")
+            v.add_argument("--no-cache", action="store_true", help="run all nodes, keep nothing")
+            v.add_argument("--verify", action="store_true", help="run all nodes and tell outputs that are not what they were")
+            v.add_argument("--strict", action="store_true", help="digest the rows of all that is read or restored")
+            v.add_argument("--shared", metavar="STORE", help="a second store, on shared storage")
             v.add_argument("--source", action="append", default=[], metavar="NAME=PATH")
     v = verbs.add_parser("gc")
     v.add_argument("--store", default=".kilnworks")
-    v.add_argument("--max", default="0", type=parse_size_text)
+    v.add_argument("--max", default=0, type=parse_size_text)
     v.add_argument("--min-age", default=0.0, type=float, help="seconds")
     v.add_argument("--dry-run", action="store_true")
     a = p.parse_args(args)
@@ -36,12 +41,11 @@ def main(args: list[str] | None = None) -> int:
     if a.verb == "gc":
         print(Store(a.store).collect(spark, a.max, int(a.min_age * 1e9), a.dry_run))
         return 0
-    with open(a.file, encoding="utf-8") as f:
-        try:
-            specs = manifest.load(spark, f.read())
-        except ValueError as e:
-            print(f"{a.file}: {e}", file=sys.stderr)
-            return 1
+    try:
+        specs = manifest.load_file(spark, a.file)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
     deps = manifest.edges_of(specs)
     if a.verb == "validate":
         print(f"{len(specs)} actions, valid")
@@ -57,9 +61,14 @@ def main(args: list[str] | None = None) -> int:
         return 0
     nodes = [Node(s["name"], " ".join(s["command"]), s["inputs"], s["outputs"], s["deps"], s["env"]) for s in specs]
     sources = {k: spark.read.parquet(v) for k, v in (x.split("=", 1) for x in a.source)}
-    _, results = Engine(spark, Store(a.store)).build(nodes, sources, a.workers, a.keep_going)
+    store = None if a.no_cache else Tiered(a.store, a.strict, remote=Store(a.shared)) if a.shared else Store(a.store, a.strict)
+    _, results = Engine(spark, store).build(nodes, sources, 1 if a.sequential else a.workers, a.keep_going, a.verify)
     for r in results:
-        print(f"{r.status}{' (cached)' if r.cached else ''} {r.action} {(r.end_ns - r.start_ns) / 1e6:.0f} ms {r.error}")
+        print(f"{r.status}{' (cached)' if r.cached else ''} {r.action} {(r.end_ns - r.start_ns) / 1e6:.0f} ms {r.error}".rstrip())
+        if r.nondeterministic:
+            print(f"  other rows than before: {', '.join(r.nondeterministic)}")
+    done = sum(r.status == "ok" for r in results)
+    print(f"{done} ok ({sum(r.cached for r in results)} cached), {len(results) - done} not")
     path, total = critical_path(nodes, results)
     print(f"critical path: {' -> '.join(path)} ({total / 1e6:.0f} ms)")
     return int(any(r.status != "ok" for r in results))

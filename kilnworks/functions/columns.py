@@ -32,19 +32,21 @@ def human_size(n: Column) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of '64', '10 KB', '1.5G' and the like, in either case; null if it is no size."""
+    """Bytes of '64', '10 KB', '3g' and the like, whole numbers in either case; 0 for '', null if it is no size."""
     up = F.upper(F.trim(text))
     number = F.regexp_extract(up, r"^([0-9]+)\s*(KB|MB|GB|K|M|G|B)?$", 1)
     unit = F.regexp_extract(up, r"^([0-9]+)\s*(KB|MB|GB|K|M|G|B)?$", 2)
     scale = F.lit(1)
     for name, n in UNITS.items():
         scale = F.when(unit == name, F.lit(n)).otherwise(scale)
-    return F.when(number != "", number.cast("long") * scale)
+    return F.when(up == "", F.lit(0).cast("long")).when(number != "", number.cast("long") * scale)
 
 
 def parse_size_text(text: str) -> int:
     """The same for one string, on the driver; ValueError if it is no size."""
     up = text.strip().upper()
+    if not up:
+        return 0
     for unit in sorted(UNITS, key=len, reverse=True):
         if up.endswith(unit) and up[: -len(unit)].strip().isdigit():
             return int(up[: -len(unit)].strip()) * UNITS[unit]
@@ -75,3 +77,9 @@ def path_problem(p: Column) -> Column:
         .when(inner | late, F.lit("not canonical"))
         .when((p == "..") | p.startswith("../"), F.lit("escapes"))
     )
+
+
+def cached_nodes(line: Column) -> Column:
+    """N of the '(N cached)' in a build's last line; null without it."""
+    found = F.regexp_extract(line, r"\(([0-9]+) cached\)", 1)
+    return F.when(found != "", found.cast("long"))

@@ -78,6 +78,47 @@ def critical_path(deps: dict[str, list[str]], seconds: dict[str, int]) -> tuple[
     return path[::-1], total
 
 
+def critical_paths(edges: DataFrame, graph: str = "graph") -> DataFrame:
+    """graph, path (names in order) and total of each graph in edges (graph, name, dep or null, duration); none on a cycle."""
+
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        deps: dict[str, list[str]] = {n: [] for n in rows["name"]}
+        for n, d in zip(rows["name"], rows["dep"], strict=True):
+            if d is not None and not pd.isna(d):
+                deps[n].append(d)
+        path, total = critical_path(deps, dict(zip(rows["name"], rows["duration"].astype(int), strict=True)))
+        return pd.DataFrame({graph: [key[0]], "path": [path], "total": [total]})
+
+    kind = edges.schema[graph].dataType.simpleString()
+    return edges.select(graph, "name", "dep", "duration").groupBy(graph).applyInPandas(solve, f"{graph} {kind}, path array<string>, total long")
+
+
+def unknown_deps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges (name, dep) whose dep is no node (name)."""
+    return edges.where("dep is not null").join(nodes.select(F.col("name").alias("dep")), "dep", "left_anti").select("name", "dep")
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """name and level of each node in edges (name, dep or null): the longest way to it from a node without dependencies.
+
+    A frontier goes from level to level, so there are as many rounds as levels. CycleError if it never ends.
+    """
+    known = edges.where("dep is not null").distinct()
+    everyone = edges.select("name").unionByName(known.select(F.col("dep").alias("name"))).distinct()
+    front = everyone.join(known.select("name"), "name", "left_anti").withColumn("level", F.lit(0).cast("long")).checkpoint()
+    found, most = front, everyone.count()
+    for level in range(1, most + 1):
+        front = known.join(front.select(F.col("name").alias("dep")), "dep").select("name").distinct().withColumn("level", F.lit(level).cast("long")).checkpoint()
+        if front.isEmpty():
+            return found.groupBy("name").agg(F.max("level").alias("level"))
+        found = found.unionByName(front)
+        if level % 50 == 0:
+            found = found.groupBy("name").agg(F.max("level").alias("level")).checkpoint()
+    if most == 0:
+        return found
+    raise CycleError(["?"])
+
+
 def topological_orders(edges: DataFrame, graph: str = "graph") -> DataFrame:
     """graph, pos, name, cycle of each graph in edges (graph, name, dep or null); on a cycle one row with its path."""
 
@@ -118,14 +159,22 @@ def dependents_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen.join(start.select("name").distinct(), "name", "left_anti")
 
 
+def names(actions: DataFrame) -> DataFrame:
+    """The names of actions, sorted by their bytes."""
+    return actions.select("name").orderBy("name")
+
+
 def best_predecessor(candidates: DataFrame, node: str = "name") -> DataFrame:
-    """Of candidates (name, dep, finish, depth) the one each node waits for: latest, deepest, smallest name."""
-    order = W.partitionBy(node).orderBy(F.desc("finish"), F.desc("depth"), "dep")
-    return candidates.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    """Of candidates (name, dep, finish, depth) the one each node waits for: latest, deepest, smallest name.
+
+    An aggregate, so a node with very many candidates is settled before the shuffle.
+    """
+    best = F.min_by(F.struct("dep", "finish", "depth"), F.struct(-F.col("finish"), -F.col("depth"), F.col("dep"))).alias("best")
+    return candidates.groupBy(node).agg(best).select(node, "best.*")
 
 
 def listing(order: DataFrame, edges: DataFrame) -> DataFrame:
-    """pos and line of each node in order (pos, name): its place, name and what it comes after."""
-    after = edges.where("dep is not null").groupBy("name").agg(F.concat_ws(", ", F.sort_array(F.collect_set("dep"))).alias("a"))
-    line = F.concat(F.format_string("%3d. ", F.col("pos") + 1), F.col("name"), F.when(F.col("a").isNotNull(), F.concat(F.lit("  (after "), F.col("a"), F.lit(")"))).otherwise(""))
-    return order.join(after, "name", "left").select("pos", line.alias("line"))
+    """order (pos, name and any more) with the line of each node: its place, name and what it comes after."""
+    after = edges.where("dep is not null").groupBy("name").agg(F.concat_ws(", ", F.sort_array(F.collect_set("dep"))).alias("__after"))
+    line = F.concat(F.format_string("%3d. ", F.col("pos") + 1), F.col("name"), F.when(F.col("__after").isNotNull(), F.concat(F.lit("  (after "), F.col("__after"), F.lit(")"))).otherwise(""))
+    return order.join(after, "name", "left").withColumn("line", line).drop("__after")

@@ -78,18 +78,36 @@ def dedup_ratio(cas_refs: DataFrame) -> DataFrame:
 
 
 def run_summary(run: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """succeeded, failed, skipped and cached of a run log (status, cached, start_ns, end_ns), and its length."""
+    """succeeded, failed, skipped and cached of a run log (status, cached, start_ns, end_ns), and its length; with nondeterministic
+    outputs, if the log has them, all of their names in order."""
+    told = [F.sort_array(F.flatten(F.collect_list("nondeterministic"))).alias("nondeterministic")] if "nondeterministic" in run.columns else []
     return run.groupBy(*(by or [])).agg(
         F.count_if(F.col("status") == "ok").alias("succeeded"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status") == "skipped").alias("skipped"),
         F.count_if("cached").alias("cached"),
         (F.max("end_ns") - F.min("start_ns")).alias("elapsed_ns"),
+        *told,
     )
 
 
-def median_of(c: Column, keep: Column) -> Column:
-    return F.median(F.when(keep, c))
+def order_statistics(samples: DataFrame, wanted: DataFrame, buckets: int = 1024) -> DataFrame:
+    """config, v of the rows of samples (config, v, o) whose rank by (v, o) in their config is wanted (config, rank).
+
+    No config needs to meet in one task: values are counted in cells of about equal numbers of rows, and only rows of cells in
+    which a wanted rank falls are ranked, within their cell.
+    """
+    at = samples.stat.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if not samples.isEmpty() else []
+    bounds = F.array(*(F.lit(x) for x in sorted(set(at)))) if at else F.array().cast("array<double>")
+    cell = F.aggregate(bounds, F.lit(0), lambda n, x: n + F.when(x <= F.col("v"), 1).otherwise(0))
+    placed = samples.withColumn("cell", cell)
+    sums = placed.groupBy("config", "cell").agg(F.count("*").alias("c"))
+    # a row a config and cell
+    before = F.coalesce(F.sum("c").over(W.partitionBy("config").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    hit = sums.withColumn("before", before).join(wanted, "config").where("rank > before and rank <= before + c").select("config", "cell", (F.col("rank") - F.col("before")).alias("nth"), "rank")
+    own = placed.join(hit.select("config", "cell").distinct(), ["config", "cell"], "left_semi")
+    ranked = own.withColumn("nth", F.row_number().over(W.partitionBy("config", "cell").orderBy("v", "o")))
+    return ranked.join(hit, ["config", "cell", "nth"]).select("config", "rank", "v")
 
 
 def hinges(samples: DataFrame, config: str, order: str, value: str, drop_first: bool = True) -> DataFrame:
@@ -97,14 +115,21 @@ def hinges(samples: DataFrame, config: str, order: str, value: str, drop_first:
 
     The first sample of each config (a warm-up) is dropped unless told otherwise.
     """
-    s = samples.select(F.col(config).alias("config"), F.col(order).alias("o"), F.col(value).alias("v"))
+    s = samples.select(F.col(config).alias("config"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
     if drop_first:
-        s = s.withColumn("r", F.row_number().over(W.partitionBy("config").orderBy("o"))).where("r > 1")
-    s = s.withColumn("rn", F.row_number().over(W.partitionBy("config").orderBy("v", "o"))).withColumn("n", F.count("*").over(W.partitionBy("config")))
-    half = F.floor(F.col("n") / 2)
-    lower, upper = F.col("rn") <= half, F.col("rn") > F.col("n") - half
-    one = F.col("n") == 1
-    return s.groupBy("config", "n").agg(median_of(F.col("v"), lower | one).alias("lower"), F.median("v").alias("median"), median_of(F.col("v"), upper | one).alias("upper"))
+        first = s.groupBy("config").agg(F.min(F.struct("o", "v")).alias("first"))
+        s = s.join(first, "config").where((F.col("o") > F.col("first.o")) | (F.col("v") > F.col("first.v"))).drop("first")
+    n, half = F.col("n"), F.greatest(F.floor(F.col("n") / 2), F.lit(1))
+    middle = lambda size: (F.floor((size + 1) / 2), F.floor(size / 2) + 1)  # noqa: E731  the two places whose mean is the median
+    places = F.array(
+        *(F.struct(F.lit(name).alias("name"), (base + at).cast("long").alias("rank")) for name, base, size in (("lower", F.lit(0), half), ("median", F.lit(0), n), ("upper", n - half, half)) for at in middle(size))
+    )
+    sizes = s.groupBy("config").agg(F.count("*").alias("n"))
+    wanted = sizes.select("config", "n", F.explode(places).alias("p")).select("config", "n", "p.name", "p.rank")
+    found = order_statistics(s, wanted.select("config", "rank").distinct())
+    mean = wanted.join(found, ["config", "rank"]).groupBy("config", "n", "name").agg((F.sum("v") / F.count("v")).alias("v"))
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("v"))).alias(name)
+    return mean.groupBy("config", "n").agg(pick("lower"), pick("median"), pick("upper"))
 
 
 def speedups(summary: DataFrame, baseline: str) -> DataFrame:

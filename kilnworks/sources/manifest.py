@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kilnworks.functions.columns import path_problem
+from kilnworks.operators import graph
 
 ACTION = T.StructType(
     [T.StructField("name", T.StringType()), *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("deps", "inputs", "outputs", "command")), T.StructField("env", T.MapType(T.StringType(), T.StringType()))]
@@ -52,6 +53,12 @@ def unknown_fields(rows: DataFrame, column: str, allowed: list[str]) -> DataFram
     return rows.withColumn("unknown", F.array_sort(F.array_except(F.json_object_keys(column), F.array(*(F.lit(x) for x in allowed)))))
 
 
+def repeated(rows: DataFrame, name: str, place: str) -> DataFrame:
+    """The rows but the first, by ``place``, of each name. The first ones are found by an aggregate, before any shuffle."""
+    first = rows.groupBy(F.col(name).alias("__name")).agg(F.min(place).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    return rows.join(first, F.col(name) == F.col("__name")).where(F.col(place) > F.col("__first")).drop("__name", "__first", "__n")
+
+
 def problems(acts: DataFrame) -> DataFrame:
     """action, rule and detail of each problem of actions (idx, name, deps, ...); none if the specification is valid."""
 
@@ -62,7 +69,7 @@ def problems(acts: DataFrame) -> DataFrame:
     nameless = F.coalesce(F.col("name"), F.lit("")) == ""
     named = acts.where(~nameless)
     deps = named.select("name", F.explode("deps").alias("dep"))
-    repeats = named.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("idx"))).where("r > 1")
+    repeats = repeated(named, "name", "idx")
     found = [
         empty,
         rule(acts.where(nameless), "no name", F.col("idx")),
@@ -70,7 +77,7 @@ def problems(acts: DataFrame) -> DataFrame:
         rule(named.where("coalesce(size(command), 0) <= 0"), "no command", F.lit("")),
         rule(named.where("coalesce(size(outputs), 0) <= 0"), "no outputs", F.lit("")),
         rule(deps.where("dep = name"), "depends on itself", F.col("dep")),
-        rule(deps.where("dep <> name").join(named.select(F.col("name").alias("dep")).distinct(), "dep", "left_anti"), "unknown dependency", F.col("dep")),
+        rule(graph.unknown_deps(named, deps.where("dep <> name")), "unknown dependency", F.col("dep")),
         rule(named.where(F.exists(F.map_keys("env"), lambda k: F.trim(k) == "")), "blank variable", F.lit("")),
     ]
     for column in ("inputs", "outputs"):
@@ -90,5 +97,17 @@ def load(spark: SparkSession, text: str) -> list[dict]:
     return specs
 
 
+def load_file(spark: SparkSession, path: str) -> list[dict]:
+    """load() of a file in any store that Spark reaches; the error tells the file."""
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        return load(spark, text)
+    except SpecError as e:
+        e.args = (f"{path}: {e}",)
+        raise
+    except ValueError as e:
+        raise ValueError(f"{path}: {e}") from e
+
+
 def edges_of(specs: list[dict]) -> dict[str, list[str]]:
     return {a["name"]: list(a["deps"]) for a in specs}

@@ -2,6 +2,8 @@ import itertools
 import json
 import os
 import random
+import statistics
+import threading
 import time
 
 import pytest
@@ -52,29 +54,63 @@ def test_all_problems_at_once_and_strict_fields(spark):
     assert manifest.load(spark, json.dumps({"actions": [act(inputs=["x/y", "..a"])]}) + " trailing")[0]["name"] == "a"
 
 
+def random_graph(r, size, chance):
+    names = [f"n{r.randint(0, 10**6)}" for _ in range(size)]
+    return {n: [m for m in names[:i] if r.random() < chance] for i, n in enumerate(names)}
+
+
 def test_smallest_order_and_cycles():
-    assert graph.smallest_order({"b": ["a"], "a": [], "c": []}) == ["a", "b", "c"]
-    assert graph.smallest_order({"d": ["a", "b", "c"], "c": [], "b": [], "a": []}) == ["a", "b", "c", "d"]
-    with pytest.raises(graph.CycleError) as e:
-        graph.smallest_order({"a": [], "b": ["a", "c"], "c": ["b"], "d": ["a"]})
-    assert e.value.path == ["b", "c", "b"]
     r = random.Random(2)
-    for _ in range(30):
-        names = [f"n{i}" for i in range(6)]
-        deps = {n: [m for m in names[:i] if r.random() < 0.3] for i, n in enumerate(names)}
-        shuffled = dict(zip(r.sample(names, 6), [None] * 6))
-        to = dict(zip(names, shuffled))
-        deps = {to[n]: [to[m] for m in d] for n, d in deps.items()}
+    for _ in range(40):
+        deps = random_graph(r, 6, 0.3)
         valid = (p for p in itertools.permutations(sorted(deps)) if all(p.index(d) < p.index(n) for n in deps for d in deps[n]))
-        assert graph.smallest_order(deps) == list(min(valid))
-
-
-def test_critical_paths():
-    assert graph.critical_path({"a": [], "b": ["a"], "c": ["b"]}, {"a": 10, "b": 20, "c": 5}) == (["a", "b", "c"], 35)
-    d = {"start": [], "slow": ["start"], "fast": ["start"], "end": ["slow", "fast"]}
-    assert graph.critical_path(d, {"start": 10, "slow": 100, "fast": 5, "end": 10}) == (["start", "slow", "end"], 120)
-    assert graph.critical_path({"a": [], "b": ["a"]}, {"a": 30}) == (["a", "b"], 30)
-    assert graph.critical_path({"a": ["b"], "b": ["a"]}, {}) == ([], 0)
+        order = graph.smallest_order(deps)
+        assert order == list(min(valid))
+        if not (later := [(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if b in _above(deps, a)]):
+            continue
+        a, b = r.choice(later)  # b needs a; now a needs b as well
+        with pytest.raises(graph.CycleError) as e:
+            graph.smallest_order({**deps, a: [*deps[a], b]})
+        path = e.value.path
+        assert path[0] == path[-1] and a in path and b in path and len(set(path)) == len(path) - 1
+        assert all(y in [*deps[x], *([b] if x == a else [])] for x, y in itertools.pairwise(path))
+
+
+def _above(deps, name):
+    """All that need name."""
+    found = {n for n in deps if name in deps[n]}
+    while more := {n for n in deps if found & set(deps[n])} - found:
+        found |= more
+    return found
+
+
+def test_critical_paths(spark):
+    r = random.Random(9)
+    rows, want = [], {}
+    for g in range(30):
+        deps = random_graph(r, 7, 0.35)
+        took = {n: r.randint(0, 4) for n in deps if r.random() < 0.9}
+
+        def chains(n):
+            return [[n]] if not deps[n] else [[*c, n] for d in deps[n] for c in chains(d)]
+
+        best = max(sum(took.get(x, 0) for x in c) for n in deps for c in chains(n))
+        path, total = graph.critical_path(deps, took)
+        assert total == best == sum(took.get(x, 0) for x in path)
+        assert all(a in deps[b] for a, b in itertools.pairwise(path)) and not deps[path[0]]
+        # ties: the deepest of the chains that end last, then the smaller names from the end on
+        finish = lambda n: max(sum(took.get(x, 0) for x in c) for c in chains(n))
+        deep = lambda n: 1 + max((deep(d) for d in deps[n] if (finish(d), deep(d)) == max((finish(x), deep(x)) for x in deps[n])), default=0)
+        at, back = min(deps, key=lambda n: (-finish(n), -deep(n), n)), []
+        while at:
+            back.append(at)
+            at = min(deps[at], key=lambda n: (-finish(n), -deep(n), n), default=None)
+        assert path == back[::-1]
+        rows += [(g, n, d, took.get(n, 0)) for n in deps for d in deps[n] or [None]]
+        want[g] = (path, total)
+    assert graph.critical_path({"x": ["y"], "y": ["x"]}, {"x": 7}) == ([], 0)
+    got = graph.critical_paths(spark.createDataFrame(rows, "graph long, name string, dep string, duration long"))
+    assert {r.graph: (r.path, r.total) for r in got.collect()} == want
 
 
 def test_graph_frames(spark):
@@ -116,10 +152,11 @@ def test_sizes_and_shards(spark):
     assert [r[0] for r in t.select(C.parse_size(F.col("s"))).collect()] == [10240, 2 << 20, 7, None, None, 3 << 30]
     assert C.parse_size_text("40 kb") == 40960 and pytest.raises(ValueError, C.parse_size_text, "-3")
     assert [r[0] for r in spark.createDataFrame([(0,), (1023,), (1536,), (5 << 20,)], "n long").select(C.human_size(F.col("n"))).collect()] == ["0 B", "1023 B", "1.50 KB", "5.00 MB"]
-    for bad in ("../../etc/passwd", "ab/cd", "..", "AB12", "zz", "a", "abc\n"):
+    for bad in ("", "0", "12", "xyz", "12/34", "./123", "ABCDEF", "0x12", "123\n", "12 34"):
         with pytest.raises(ValueError):
             shard(bad)
-    assert shard("abcd") == os.path.join("ab", "cd")
+    assert shard("0123f") == "01/23f"
+    assert C.parse_size_text("") == 0 and spark.createDataFrame([("",)], "s string").select(C.parse_size(F.col("s"))).first()[0] == 0
 
 
 def test_eviction_is_the_sequential_loop(spark):
@@ -151,6 +188,16 @@ def test_hinges(spark):
     assert got == {"a": (7, 2.0, 4.0, 6.0), "b": (1, 8.0, 8.0, 8.0)}
 
 
+def test_hinges_of_many(spark):
+    r = random.Random(5)
+    rows = [(c, i, r.choice([r.random(), 0.5, float(r.randint(0, 3))])) for c, n in (("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 4001), ("g", 700)) for i in range(n)]
+    got = {x.config: (x.n, x.lower, x.median, x.upper) for x in metadata.hinges(spark.createDataFrame(rows, "c string, o int, v double").repartition(5), "c", "o", "v", drop_first=False).collect()}
+    for c in "abcdefg":
+        v = sorted(x for k, _, x in rows if k == c)
+        half = max(1, len(v) // 2)
+        assert got[c] == (len(v), statistics.median(v[:half]), statistics.median(v), statistics.median(v[-half:]))
+
+
 def pipeline_nodes(clean="SELECT min(id) AS id, t FROM docs GROUP BY t"):
     return [
         Node("clean", clean, ["docs"], ["cleaned"]),
@@ -201,7 +248,7 @@ def test_put_computes_a_table_once(spark, tmp_path):
         assert seen.value == 10 * times and changed == []
     assert store.intact(spark, found["x"]) and sorted(os.listdir(store.root)) == ["ac", "cas"]
     empty, changed = store.put("abc", {"x": spark.range(0)})
-    assert changed == ["x"] and store.restore(spark, empty)["x"].columns == ["id"]
+    assert changed == ["x"] and store.restore(spark, empty)["x"]().columns == ["id"]
 
 
 def test_equal_tables_meet_in_the_store(spark, tmp_path):
@@ -233,6 +280,211 @@ def test_failures_and_isolation(spark, sources):
     assert critical_path(nodes, [])[1] == 0
 
 
+def scaled(by, shift=0):
+    def body(session, inputs, env):
+        return {"o": inputs["docs"].selectExpr(f"id * {by} + {shift} AS id")}
+
+    return body
+
+
+FACTOR = 1
+
+
+def by_global(session, inputs, env):
+    return {"o": inputs["docs"].selectExpr(f"id * {FACTOR} AS id")}
+
+
+def test_keys_hold_what_callables_rest_on(spark, tmp_path, sources, monkeypatch):
+    of = lambda f: fingerprint.engine_digest(spark, f)
+    assert of(scaled(1)) == of(scaled(1))
+    assert len({of(scaled(1)), of(scaled(2)), of(scaled(1, shift=3)), of(scaled([1])), of(scaled("1")), of("sql")}) == 6
+    before = of(by_global)
+    monkeypatch.setitem(globals(), "FACTOR", 2)
+    assert of(by_global) != before
+    with pytest.raises(TypeError):
+        of(scaled(object()))
+    default = lambda s, i, e, k=1: k
+    first = of(default)
+    default.__defaults__ = (2,)
+    assert of(default) != first
+    store = Store(str(tmp_path / "store"))
+    rows = lambda k: sorted(r.id for r in Engine(spark, store).build([Node("n", scaled(k), ["docs"], ["o"])], sources)[0]["o"].collect())
+    assert rows(1) == list(range(20)) and rows(2) == list(range(0, 40, 2))
+    before = of("sql")
+    spark.conf.set("spark.sql.legacy.sizeOfNull", "true")
+    try:
+        assert of("sql") != before
+    finally:
+        spark.conf.unset("spark.sql.legacy.sizeOfNull")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "interval day to second"])
+def test_digests_tell_microseconds(spark, kind):
+    text = "INTERVAL '0 00:00:01.000{}' DAY TO SECOND" if kind.startswith("interval") else "CAST('2024-05-06 07:08:09.000{}' AS " + kind + ")"
+    d = [fingerprint.table_digest(spark.sql(f"SELECT {text.format(x)} AS t, array({text.format(x)}) AS a")) for x in ("001", "002", "001")]
+    assert d[0] == d[2] != d[1]
+
+
+def test_digests_count_rows(spark):
+    d = lambda *ids: fingerprint.table_digest(spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert d(1, 2, 2) == d(2, 1, 2) and len({d(1, 2), d(1, 2, 2), d(1, 1, 2), d(1, 1, 2, 2), d(1), d()}) == 6
+
+
+@pytest.mark.parametrize("body", ["SELECT first(id) AS x FROM docs", "SELECT current_user() AS x FROM docs", "SELECT t, collect_list(id) AS x FROM docs GROUP BY t", "SELECT now() AS x FROM docs", "SELECT uuid() AS x FROM docs"])
+def test_unsteady_nodes_fail(spark, sources, body):
+    assert Engine(spark).build([Node("n", body, ["docs"], ["o"])], sources)[1][0].status == "failed"
+
+
+def test_steady_lists_and_trust(spark, sources):
+    for node in (Node("n", "SELECT t, sort_array(collect_list(id)) AS x FROM docs GROUP BY t", ["docs"], ["o"]), Node("n", "SELECT first(t) AS x FROM docs WHERE id = 3", ["docs"], ["o"], stable=True)):
+        assert Engine(spark).build([node], sources)[1][0].status == "ok"
+
+
+def test_cancelled_siblings_stop(spark, sources):
+    slow = "SELECT sum(a.id * b.id % 7) AS x FROM range(4000000) a CROSS JOIN range(1000000) b WHERE a.id + b.id >= (SELECT min(id) FROM docs)"
+    nodes = [Node("slow", slow, ["docs"], ["s"]), Node("bad", "SELECT CAST(t AS INT) AS x FROM docs", ["docs"], ["b"]), Node("after", "SELECT * FROM s", ["s"], ["a"], ["slow"])]
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)  # were it not cancelled
+    timer.start()
+    _, results = Engine(spark).build(nodes, sources, workers=2)
+    timer.cancel()
+    by = {r.action: r for r in results}
+    assert {n: r.status for n, r in by.items()} == {"slow": "cancelled", "bad": "failed", "after": "skipped"}
+    assert by["slow"].end_ns - by["bad"].end_ns < 2 * 10**9
+
+
+def test_nodes_run_side_by_side_but_not_more(spark, sources):
+    here, most, lock, both = [0], [0], threading.Lock(), threading.Barrier(2, timeout=30)
+    engine = Engine(spark)
+    real = engine.execute
+
+    def counted(node, tables):
+        with lock:
+            here[0] += 1
+            most[0] = max(most[0], here[0])
+        both.wait()  # passes only if two run at once
+        made = real(node, tables)
+        with lock:
+            here[0] -= 1
+        return made
+
+    engine.execute = counted
+    nodes = [Node(f"n{i}", "SELECT count(*) AS n FROM docs", ["docs"], [f"o{i}"]) for i in range(6)]
+    assert all(r.status == "ok" for r in engine.build(nodes, sources, workers=2)[1]) and most[0] == 2
+
+
+@pytest.mark.parametrize("workers", [1, 2, 4, 8])
+def test_workers_agree(spark, tmp_path, sources, workers):
+    tables, results = Engine(spark, Store(str(tmp_path / "store"))).build(pipeline_nodes(), sources, workers)
+    assert not any(r.cached for r in results)
+    assert sorted(map(tuple, tables["report"].collect())) == [(0, 3), (1, 2)]
+
+
+def test_verify_tells_changed_rows(spark, tmp_path, sources):
+    store = Store(str(tmp_path / "store"))
+    node = Node("n", "SELECT id, rand() AS x FROM docs", ["docs"], ["o"], stable=True)  # falsely vouched for
+    engine = Engine(spark, store)
+    assert engine.build([node], sources)[1][0].nondeterministic == []
+    assert engine.build([node], sources)[1][0].cached
+    log = engine.build([node], sources, verify=True)[1]
+    assert [(r.cached, r.nondeterministic) for r in log] == [(False, ["o"])]
+    assert metadata.run_summary(engine.run_log(log)).first().nondeterministic == ["o"]
+
+
+def test_sources_are_digested_again_when_files_change(spark, tmp_path):
+    store, path = Store(str(tmp_path / "store")), f"{tmp_path}/t"
+    old = time.time() - 1000
+    age = lambda at: [os.utime(os.path.join(path, f), (at, at)) for f in os.listdir(path)]
+    spark.range(5).write.parquet(path)
+    assert store.source_digest(spark.read.parquet(path)) == fingerprint.table_digest(spark.range(5)) and not os.path.exists(f"{store.root}/src")  # too young
+    age(old)
+    first = store.source_digest(spark.read.parquet(path))
+    kept = os.listdir(f"{store.root}/src")
+    assert store.source_digest(spark.read.parquet(path)) == first and os.listdir(f"{store.root}/src") == kept
+    spark.range(6).write.mode("overwrite").parquet(path)
+    age(old)
+    assert store.source_digest(spark.read.parquet(path)) == fingerprint.table_digest(spark.range(6)) != first
+    assert store.source_digest(spark.read.parquet(path).where("id < 5")) == first  # no plain table: digested
+    age(old + 1)  # other times, equal rows
+    assert store.source_digest(spark.read.parquet(path)) == fingerprint.table_digest(spark.range(6))
+
+
+def test_strict_restores_and_stamps(spark, tmp_path):
+    store = Store(str(tmp_path / "store"), strict=True)
+    found, _ = store.put("abc", {"o": spark.range(3)})
+    path = store.blob(found["o"])
+    spark.range(4, 7).write.parquet(f"{tmp_path}/other")
+    other = next(f for f in os.listdir(f"{tmp_path}/other") if f.startswith("part-"))
+    part = next(f for f in os.listdir(path) if f.startswith("part-"))
+    assert store.restore(spark, found) is not None
+    with open(f"{tmp_path}/other/{other}", "rb") as f, open(f"{path}/{part}", "wb") as g:
+        g.write(f.read())  # rows of the same size
+    for f in os.listdir(path):
+        if f.endswith(".crc"):
+            os.remove(f"{path}/{f}")
+    assert store.restore(spark, found) is None
+    entry = store.entry("abc")
+    os.utime(entry, (1000, 1000))
+    store.lookup("abc")
+    fresh = os.stat(entry).st_mtime
+    assert fresh > time.time() - 60
+    os.utime(entry, (fresh - 600, fresh - 600))  # used lately: not stamped again
+    store.lookup("abc")
+    assert abs(os.stat(entry).st_mtime - (fresh - 600)) < 2
+
+
+def test_collections(spark, tmp_path):
+    store = Store(str(tmp_path / "store"))
+    for i in range(3):
+        store.put(f"abc{i}", {"o": spark.range(10 * i, 10 * i + 5)})
+        store.files.touch(store.entry(f"abc{i}"), (1000 + i) * 10**9)
+    store.put_blob(spark.range(99))  # nobody refers to it
+    total = store.blobs(spark).agg(F.sum("size")).first()[0]
+    young = store.collect(spark, 1, min_age_ns=3600 * 10**9)
+    assert (young["blobs_dropped"], store.blobs(spark).count()) == (0, 4) and young["too_young"] >= 1
+    told = store.collect(spark, total // 4, dry_run=True)
+    assert store.blobs(spark).count() == 4 and told["evicted"] >= 1
+    store.files.create(f"{store.root}/.gc-lock", "")
+    with pytest.raises(OSError):
+        store.collect(spark)
+    os.utime(f"{store.root}/.gc-lock", (1000, 1000))  # left by one that died
+    done = store.collect(spark, total // 4)
+    assert done == told and done["bytes_after"] == store.blobs(spark).agg(F.sum("size")).first()[0] <= total // 4
+    assert not os.path.exists(f"{store.root}/.gc-lock")
+
+
+def test_damage_on_receipt(spark, tmp_path):
+    shared = Store(str(tmp_path / "shared"))
+    found, _ = shared.put("abc", {"o": spark.range(3)})
+    spark.range(9).write.mode("append").parquet(shared.blob(found["o"]))
+    here = Tiered(str(tmp_path / "here"), remote=shared)
+    assert here.lookup("abc") is None and not here.has(found["o"]) and here.stats["errors"] == 1
+    shared.put_entry("abd", found)
+    os.replace(shared.entry("abd"), shared.entry("abc"))  # an entry under another key
+    assert shared.lookup("abc") is None
+
+
+def test_command_line(spark, tmp_path, sources, capsys, monkeypatch):
+    from kilnworks import cli
+
+    monkeypatch.chdir(tmp_path)
+    spec = {"actions": [{"name": n.name, "deps": n.deps, "inputs": n.inputs, "outputs": n.outputs, "command": [n.body]} for n in pipeline_nodes()]}
+    (tmp_path / "p.json").write_text(json.dumps(spec))
+    run = lambda *a: (cli.main([str(x) for x in a]), capsys.readouterr())
+    src = [x for t in ("docs", "labels") for x in ("--source", f"{t}=file://{tmp_path}/{t}")]
+    assert run("validate", f"file://{tmp_path}/p.json")[0] == 0
+    code, out = run("graph", f"file://{tmp_path}/p.json")
+    assert code == 0 and out.out.splitlines() == ["  1. clean", "  2. label  (after clean)", "  3. report  (after label)"]
+    build = ["build", f"file://{tmp_path}/p.json", "--store", f"file://{tmp_path}/s", *src]
+    for more, last in ((["--sequential"], "3 ok (0 cached), 0 not"), (["--shared", f"file://{tmp_path}/t"], "3 ok (3 cached), 0 not"), (["--no-cache"], "3 ok (0 cached), 0 not"), (["--verify", "--strict"], "3 ok (0 cached), 0 not")):
+        code, out = run(*build, *more)
+        assert code == 0 and last in out.out and "critical path: clean -> label -> report" in out.out
+    assert run("gc", "--store", f"file://{tmp_path}/s", "--max", "1", "--dry-run")[0] == 0
+    (tmp_path / "bad.json").write_text('{"actions": []}')
+    code, out = run("validate", f"file://{tmp_path}/bad.json")
+    assert code == 1 and "bad.json" in out.err and "no actions" in out.err
+
+
 def test_shared_store(spark, tmp_path, sources):
     shared = Store(str(tmp_path / "shared"))
     a, b = (Tiered(str(tmp_path / x), remote=shared) for x in "ab")
