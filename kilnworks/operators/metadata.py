@@ -40,14 +40,25 @@ def nondeterministic(history: DataFrame) -> DataFrame:
     return history.withColumn("before", before).where("before is not null and before <> digest").select("key", "path", "ts", "before", "digest")
 
 
+def cell_of(bounds: list[float], value: str) -> Column:
+    """How many of these ascending bounds a value reaches, by a binary tree of comparisons, which Spark compiles."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(value) >= F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(bounds))
+
+
 def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, buckets: int = 64) -> DataFrame:
     """df with ``out``, the sum of value over all rows before, without a window over all rows in one task.
 
     Rows are dealt by ranges of the first order column; the ranges' sums, few rows, are summed up first.
     """
     at = df.stat.approxQuantile(order[0], [i / buckets for i in range(1, buckets)], 0.25 / buckets)
-    bounds = F.array(*(F.lit(x) for x in sorted(set(at)))) if at else F.array().cast("array<double>")
-    d = df.withColumn("__b", F.size(F.filter(bounds, lambda x: x <= F.col(order[0]))))
+    d = df.withColumn("__b", cell_of(sorted(set(at)), order[0]))
     sums = d.groupBy("__b").agg(F.sum(value).alias("__s"))
     base = sums.select("__b", F.coalesce(F.sum("__s").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inner = F.coalesce(F.sum(value).over(W.partitionBy("__b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -91,16 +102,14 @@ def run_summary(run: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def order_statistics(samples: DataFrame, wanted: DataFrame, buckets: int = 1024) -> DataFrame:
+def order_statistics(samples: DataFrame, wanted: DataFrame, buckets: int = 128) -> DataFrame:
     """config, v of the rows of samples (config, v, o) whose rank by (v, o) in their config is wanted (config, rank).
 
     No config needs to meet in one task: values are counted in cells of about equal numbers of rows, and only rows of cells in
     which a wanted rank falls are ranked, within their cell.
     """
-    at = samples.stat.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if not samples.isEmpty() else []
-    bounds = F.array(*(F.lit(x) for x in sorted(set(at)))) if at else F.array().cast("array<double>")
-    cell = F.aggregate(bounds, F.lit(0), lambda n, x: n + F.when(x <= F.col("v"), 1).otherwise(0))
-    placed = samples.withColumn("cell", cell)
+    at = samples.stat.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets)
+    placed = samples.withColumn("cell", cell_of(sorted(set(at)), "v"))
     sums = placed.groupBy("config", "cell").agg(F.count("*").alias("c"))
     # a row a config and cell
     before = F.coalesce(F.sum("c").over(W.partitionBy("config").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -440,7 +440,7 @@ def test_collections(spark, tmp_path):
         store.files.touch(store.entry(f"abc{i}"), (1000 + i) * 10**9)
     store.put_blob(spark.range(99))  # nobody refers to it
     total = store.blobs(spark).agg(F.sum("size")).first()[0]
-    young = store.collect(spark, 1, min_age_ns=3600 * 10**9)
+    young = store.collect(spark, 0, min_age_ns=3600 * 10**9)
     assert (young["blobs_dropped"], store.blobs(spark).count()) == (0, 4) and young["too_young"] >= 1
     told = store.collect(spark, total // 4, dry_run=True)
     assert store.blobs(spark).count() == 4 and told["evicted"] >= 1
