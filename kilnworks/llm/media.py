@@ -50,6 +50,41 @@ def one_code(kind: int) -> bytes:
 TABLES = segment(0xC4, one_code(0) + one_code(1))
 
 
+#: Fixed values, the usual tables of motion JPEG, whose frames may leave them out: how many codes have 1, 2, ... 16 bits, and the
+#: symbols that come first in the codes' order; the others follow in ascending order.
+USUAL = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), ""),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), ""),
+    0x10: ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    0x11: ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+
+
+def usual_tables() -> bytes:
+    """The body of a segment with the four usual tables."""
+    out = b""
+    for kind, (counts, first) in USUAL.items():
+        head = bytes.fromhex(first)
+        every = range(12) if kind < 0x10 else [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+        out += bytes([kind, *counts]) + head + bytes(sorted(set(every) - set(head)))
+    return out
+
+
+def codes_of(body: bytes) -> dict[int, dict[tuple[int, int], int]]:
+    """Symbols by (length, code) of each table in a segment's body."""
+    out: dict[int, dict[tuple[int, int], int]] = {}
+    while body:
+        own, code, k = out.setdefault(body[0], {}), 0, 17
+        own.clear()
+        for length in range(1, 17):
+            for _ in range(body[length]):
+                own[length, code] = body[k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        body = body[k:]
+    return out
+
+
 def jpeg_head(width: int, height: int) -> bytes:
     return b"".join(
         [
@@ -142,7 +177,7 @@ class Frame:
         if jpeg[:2] != b"\xff\xd8":
             raise ValueError("no JPEG frame")
         self.quant: dict[int, np.ndarray] = {}
-        codes: dict[int, dict[tuple[int, int], int]] = {}
+        codes, plain = codes_of(usual_tables()), False
         restart, at = 0, 2
         while True:
             marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
@@ -159,22 +194,15 @@ class Frame:
                 raise ValueError("only baseline frames are intra-coded here")
             elif marker == 0xC4:
                 plain = body == TABLES[4:]
-                while body:
-                    counts, kind = body[1:17], body[0]
-                    codes[kind], code, k = {}, 0, 17
-                    for length in range(1, 17):
-                        for _ in range(counts[length - 1]):
-                            codes[kind][length, code] = body[k]
-                            code, k = code + 1, k + 1
-                        code <<= 1
-                    body = body[k:]
+                codes |= codes_of(body)
             elif marker == 0xDD:
                 restart = struct.unpack(">H", body)[0]
             at += 2 + size
             if marker == 0xDA:
                 tables = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
                 break
-        data = jpeg[at : jpeg.rindex(b"\xff\xd9")]
+        end = jpeg.rfind(b"\xff\xd9")
+        data = jpeg[at : end if end > at else len(jpeg)]
         n = self.width * self.height // 64
         self.blocks = None
         if len(self.parts) == 1 and restart == 1 and plain and self.parts[0][1:3] == (1, 1):
@@ -304,7 +332,11 @@ def avi_payload(frames: list[Frame]) -> bytes:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (an AVI file) of each text of docs; a null text is empty. No shuffle."""
+    """doc_id, n_bytes and media (an AVI file) of each text of docs; a null text is empty. No shuffle.
+
+    Rows are stored one by one: repeated rows give equal files, an empty table none, columns other than the two are left out.
+    A file takes a little over twice the text and must fit in a cell, so a text may have some 900 MB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.pieces(batches, "__text"):
@@ -317,7 +349,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def read_stored(media: DataFrame) -> DataFrame:
     """Digests and features of stored texts, from the bytes of ``media`` alone.
 
-    feature: frames, then first frame and length of each clip, then the mean histogram's CRC. Equal texts, equal values.
+    feature: frames, then first frame and length of each clip, then the mean histogram's CRC. clips: first second, last second and
+    frames of each. Equal texts, equal values.
     """
 
     def one(data: bytes) -> tuple:
@@ -327,17 +360,18 @@ def read_stored(media: DataFrame) -> DataFrame:
         hists = np.array([histogram(f) for f in frames])
         starts = shot_starts(hists)
         shots = ",".join(f"{a}+{b - a}" for a, b in zip(starts, [*starts[1:], len(frames)], strict=True))
+        timed = ",".join(f"{a / fps:g}-{b / fps:g}:{b - a}" for a, b in zip(starts, [*starts[1:], len(frames)], strict=True))
         mean = np.rint(1000 * hists.mean(axis=0)).astype("<u2").tobytes()
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(frames)}@{fps:g}:{shots}:{zlib.crc32(mean):08x}")
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(frames)}@{fps:g}:{shots}:{zlib.crc32(mean):08x}", timed)
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.pieces(batches, "media"):
             found = list(zip(*(one(x) for x in batch.column("media").to_pylist()), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x) for x in found)], ["doc_id", "n_bytes", *names])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips string")
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
@@ -352,7 +386,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
             for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
                 try:
                     rows += [(doc, i, *c) for i, c in enumerate(clips(data or b""))]
-                except (ValueError, IndexError, KeyError, struct.error):
+                except (ValueError, LookupError, AttributeError, TypeError, struct.error):  # what damaged bytes lead to
                     continue
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["doc_id", "clip", "first_frame", "n_frames", "start_s", "end_s"])

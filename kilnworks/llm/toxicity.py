@@ -97,8 +97,9 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out.
 
-    Labels with a null id or label are left out; of several labels of one id the greatest counts. The sample's ids are the
-    least by xxhash64; their number bounds the broadcast, the one fitting task and the driver's share, which is the model alone.
+    Labels with a null id or label are left out; of several labels of one id the greatest counts, and of several rows of one id
+    the one of the least features. The sample's ids are the least by xxhash64; their number bounds the broadcast, the one
+    fitting task and the driver's share, which is the model alone.
     """
     ws.small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -126,24 +127,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         yield pa.RecordBatch.from_pydict({"index": [m.index.tolist()], "weight": [m.weight.tolist()], "bias": [m.bias]}, schema=pa.schema([("index", pa.list_(pa.int64())), ("weight", pa.list_(pa.float64())), ("bias", pa.float64())]))
 
     lists = rows.mapInArrow(featurise, "rank long, doc_id long, label int, features array<int>")
+    lists = lists.groupBy("rank", "doc_id", "label").agg(F.min("features").alias("features"))
     got = lists.repartition(1).mapInArrow(learn, "index array<long>, weight array<double>, bias double").collect()
     if not got:
         return ftrl([])
     return Model(np.array(got[0]["index"], dtype="int64"), np.array(got[0]["weight"]), got[0]["bias"])
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from the threshold on); all other columns stay. No shuffle.
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 from the threshold on), under these names, which replace columns of docs that
+    have them; all others stay. No shuffle.
 
-    A null or empty text has no feature and gets the intercept's score.
+    A null or empty text has no feature and gets the intercept's score. Rows are scored one by one: repeated rows get equal
+    scores, an empty table none, and a long text is read whole.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c not in names]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{names[0]}` double, `{names[1]}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bt.pieces(batches, "text"):
             p = sent.value.scores(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= threshold).astype("int32"))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= threshold).astype("int32"))], [*keep, *names])
 
     return docs.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)

@@ -24,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where it is unset and Spark runs in one process (tests), one of our own."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not said:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         said = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "kilnworks")
         spark.sparkContext.setCheckpointDir(said)
     return said.rstrip("/")
