@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -16,6 +17,10 @@ MAX_ID = 2**63 - 1
 #: Rows in a range of ids, about the least.
 RANGE = 64
 
+#: Seconds between two collections that release shuffle files.
+SWEEP = 2.0
+_swept = 0.0
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -53,15 +58,18 @@ def write_table(df: DataFrame, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing.
 
-    Shuffle files of what came before are released at once, not at the next garbage collection.
+    Shuffle files of what came before are released soon, not at the next garbage collection.
     """
+    global _swept
     spark = df.sparkSession
     path = write_table(df, name)
     out = spark.read.schema(df.schema).parquet(path)
     out._place = path
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() > _swept + SWEEP:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept = time.monotonic()
     return out
 
 
@@ -80,7 +88,7 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: st
     total = counts.agg(F.sum("count").alias("__all"), F.count("*").alias("__keys"))
     share = F.greatest(F.lit(1), F.col("__all") / MANY)
     hot = counts.join(F.broadcast(total)).where(F.col("count") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("count") / share).cast("int").alias("__parts"))
-    hot = cut(hot.where("__parts > 1"), "hot")
+    hot = hot.where("__parts > 1")
     salted = big.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")), F.lit(0)).cast("int"))
     every = small.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
     return salted.drop("__hot", "__parts").join(every.drop("__hot", "__parts"), [key, "__salt"], how).drop("__salt")
