@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from kilnworks.sources.shared import kept
+
 
 class CycleError(ValueError):
     """path: a closed list of names, first and last the same."""
@@ -105,15 +107,15 @@ def levels(edges: DataFrame) -> DataFrame:
     """
     known = edges.where("dep is not null").distinct()
     everyone = edges.select("name").unionByName(known.select(F.col("dep").alias("name"))).distinct()
-    front = everyone.join(known.select("name"), "name", "left_anti").withColumn("level", F.lit(0).cast("long")).checkpoint()
+    front = kept(everyone.join(known.select("name"), "name", "left_anti").withColumn("level", F.lit(0).cast("long")))
     found, most = front, everyone.count()
     for level in range(1, most + 1):
-        front = known.join(front.select(F.col("name").alias("dep")), "dep").select("name").distinct().withColumn("level", F.lit(level).cast("long")).checkpoint()
+        front = kept(known.join(front.select(F.col("name").alias("dep")), "dep").select("name").distinct().withColumn("level", F.lit(level).cast("long")))
         if front.isEmpty():
             return found.groupBy("name").agg(F.max("level").alias("level"))
         found = found.unionByName(front)
         if level % 50 == 0:
-            found = found.groupBy("name").agg(F.max("level").alias("level")).checkpoint()
+            found = kept(found.groupBy("name").agg(F.max("level").alias("level")))
     if most == 0:
         return found
     raise CycleError(["?"])
@@ -150,12 +152,13 @@ def dependents_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     seen = start.select("name").distinct()
     front, rounds = seen, 0
     while True:
-        new = edges.join(front.select(F.col("name").alias("dep")), "dep").select("name").distinct().join(seen, "name", "left_anti").checkpoint()
+        new = edges.join(front.select(F.col("name").alias("dep")), "dep").select("name").distinct().join(seen, "name", "left_anti")
+        new = kept(new)
         if new.isEmpty():
             break
         seen, front, rounds = seen.unionByName(new), new, rounds + 1
         if rounds % 50 == 0:
-            seen = seen.checkpoint()  # a deep chain's plan stays small
+            seen = kept(seen)  # a deep chain's plan stays small
     return seen.join(start.select("name").distinct(), "name", "left_anti")
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +10,7 @@ from kilnworks.plans.catalogue import _all, query, table
 from kilnworks.plans.engine import Engine, Node
 from kilnworks.sources import manifest
 from kilnworks.sources.files import Files
+from kilnworks.sources.shared import scratch
 from kilnworks.sources.store import Store, Tiered
 
 
@@ -21,12 +18,6 @@ def registered() -> dict:
     return _all
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, else (in tests) one of this machine's."""
-    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(said or 'file://' + os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/engine-{uuid.uuid4().hex}"
-
-
 def nodes(least: str = "2") -> list[Node]:
     return [
         Node("clean", f"SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_quantity > {least}", ["lineitem"], ["sold"]),
