@@ -237,54 +237,47 @@ def link_roots(sigs: DataFrame, docs: DataFrame, rounds: tuple[int, ...] = (1, 4
     members = ws.cut(members, "members")
     texts = texts_of(one.select("node", "ord").join(members.select("node").distinct(), "node"), docs)
     columns = ["key", "parts", "node", "n", "root", "sketch"]
-    roots, done, open_rows, everyone = None, None, members, members
+    found, done, open_rows, everyone = None, None, members, members
     for heads in rounds:
         top = ws.cut(heads_of(open_rows, heads), "heads")
         pairs = candidate_pairs(members, top)
         pairs = ws.cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        roots = joined(roots, ws.cut(verified(pairs, texts), "links"))
+        new = ws.cut(verified(pairs, texts), "links")
+        found, done = (new, pairs) if found is None else (found.unionByName(new), done.unionByName(pairs))
+        roots = components(found)
         seen = grouped(top.select("key", "node"), roots).select("key", "root").distinct()
         open_rows = ws.cut(grouped(open_rows, roots).join(seen, ["key", "root"], "left_anti").select(columns), "open")
         if open_rows.isEmpty():
             break
         members = ws.cut(grouped(members, roots).join(open_rows.select("key").distinct(), "key", "left_semi").select(columns), "members")
     pairs = ws.cut(cross_pairs(grouped(everyone, roots).select(columns)).join(done, ["a", "b"], "left_anti"), "pairs")
-    return roots if pairs.isEmpty() else joined(roots, ws.cut(verified(pairs, texts), "links"))
-
-
-def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The groups (node, root) that these links (a, b) make with groups found before, which stand in as links to their roots."""
-    if roots is None:
-        return components(links)
-    if links.isEmpty():
+    if pairs.isEmpty():
         return roots
-    return components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
-
-
-def unfinished(edges: DataFrame) -> DataFrame:
-    """Nodes that keep edges (u, v), u > v, from being stars around their least nodes: those with two lesser neighbours, or with lesser and greater ones."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1")
+    return components(found.unionByName(ws.cut(verified(pairs, texts), "links")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component, for nodes that have an edge.
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its smaller ones, are hung on the least. The
-    edges never grow in number, and the rounds grow as the logarithm of the components' size. They end once all edges are stars.
+    edges never grow in number, and the rounds grow as the logarithm of the components' size.
     """
     e = ws.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while not unfinished(e).isEmpty():
+    before = None
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # a head's many neighbours are dealt over many tasks, whether it is less or greater than they
         up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = ws.cut(ws.salted_join(up, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = ws.salted_join(up, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = ws.salted_join(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         old, e = e, ws.cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        ws.done(old, large)
+        ws.done(old)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return ws.cut(stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
 
