@@ -81,16 +81,17 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(registers: np.ndarray) -> np.ndarray:
-    """Four bits of each register, 16 registers in a long."""
+    """Four bits of each register: of 64 registers a long of their last bits, one of those before, and so on."""
     d, m = registers.shape
-    four = (registers & np.uint64(15)).reshape(d, m // 16, 16) << (4 * np.arange(16, dtype="uint64"))
-    return np.bitwise_or.reduce(four, axis=2).view("int64")
+    by_bit = (registers.reshape(d, m // 64, 1, 64) >> np.arange(4, dtype="uint64")[:, None]) & np.uint64(1)
+    return np.bitwise_or.reduce(by_bit << np.arange(64, dtype="uint64"), axis=3).reshape(d, m // 16).view("int64")
 
 
 def plausible(a: str, b: str, longs: int) -> Column:
     """Do two sketches differ in no more registers than one pair in 4,000 at the least similarity would?
 
-    Registers agree with the similarity, and by chance with a sixteenth of the rest.
+    Registers agree with the similarity, and by chance with a sixteenth of the rest. Each long is named once: a condition of
+    over 8,000 bytes of code is never compiled by the JVM.
     """
     m = 16 * longs
     agree = ALIKE + (1 - ALIKE) / 16
@@ -98,11 +99,12 @@ def plausible(a: str, b: str, longs: int) -> Column:
 
     def differ(i: int) -> Column:
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+        for j in range(i + 1, i + 4):
+            x = x.bitwiseOR(F.col(a)[j].bitwiseXOR(F.col(b)[j]))
+        return F.bit_count(x)
 
     total = differ(0)
-    for i in range(1, longs):
+    for i in range(4, longs, 4):
         total = total + differ(i)
     return total <= most
 
@@ -163,14 +165,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def heads_of(open_rows: DataFrame, heads: int) -> DataFrame:
-    """key and head (node, n, root, sketch): up to ``heads`` of each bucket's open rows.
+    """key, parts and head (node, n, root, sketch): up to ``heads`` of each bucket's open rows.
 
     The i-th head is the least by a hash of node and i: a minimum, which is taken before the shuffle, so a large bucket never
     meets in one task. Buckets of the same documents mostly get the same heads, whose pairs are then compared once.
     """
     turn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("turn"), "node", "n", "root", "sketch")) for i in range(heads)]
-    h = open_rows.groupBy("key").agg(F.array(*turn).alias("h")).select("key", F.explode("h").alias("h"))
-    return h.select("key", "h.node", "h.n", "h.root", "h.sketch").distinct()
+    h = open_rows.groupBy("key").agg(F.max("parts").alias("parts"), F.array(*turn).alias("h")).select("key", "parts", F.explode("h").alias("h"))
+    h = h.select("key", "parts", "h.node", "h.n", "h.root", "h.sketch")
+    return h.distinct() if heads > 1 else h
 
 
 def parts_of(c: str) -> Column:
@@ -188,8 +191,7 @@ def candidate_pairs(members: DataFrame, heads: DataFrame) -> DataFrame:
 
     A large bucket's members are dealt over several tasks, and its few heads sent to each.
     """
-    sizes = members.select("key", "parts").distinct()
-    h = heads.join(sizes, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("h")
+    h = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("h")
     m = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("m")
     near = (F.col("m.key") == F.col("h.key")) & (F.col("m.part") == F.col("h.part")) & may_be_alike()
     return m.join(h, near).select(F.least("m.node", "h.node").alias("a"), F.greatest("m.node", "h.node").alias("b")).distinct()
@@ -237,63 +239,74 @@ def link_roots(sigs: DataFrame, docs: DataFrame, rounds: tuple[int, ...] = (1, 4
     members = ws.cut(members, "members")
     texts = texts_of(one.select("node", "ord").join(members.select("node").distinct(), "node"), docs)
     columns = ["key", "parts", "node", "n", "root", "sketch"]
-    found, done, open_rows, everyone = None, None, members, members
+    roots, done, open_rows, everyone = None, None, members, members
     for heads in rounds:
+        if done is not None:  # what no head of its bucket has found goes on, with the rest of its bucket
+            seen = grouped(top.select("key", "node"), roots).select("key", "root").distinct()
+            open_rows = ws.cut(grouped(open_rows, roots).join(seen, ["key", "root"], "left_anti").select(columns), "open")
+            if open_rows.isEmpty():
+                break
+            members = ws.cut(grouped(members, roots).join(open_rows.select("key").distinct(), "key", "left_semi").select(columns), "members")
         top = ws.cut(heads_of(open_rows, heads), "heads")
         pairs = candidate_pairs(members, top)
         pairs = ws.cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        new = ws.cut(verified(pairs, texts), "links")
-        found, done = (new, pairs) if found is None else (found.unionByName(new), done.unionByName(pairs))
-        roots = components(found)
-        seen = grouped(top.select("key", "node"), roots).select("key", "root").distinct()
-        open_rows = ws.cut(grouped(open_rows, roots).join(seen, ["key", "root"], "left_anti").select(columns), "open")
-        if open_rows.isEmpty():
-            break
-        members = ws.cut(grouped(members, roots).join(open_rows.select("key").distinct(), "key", "left_semi").select(columns), "members")
+        done = pairs if done is None else done.unionByName(pairs)
+        roots = joined(roots, ws.cut(verified(pairs, texts), "links"))
     pairs = ws.cut(cross_pairs(grouped(everyone, roots).select(columns)).join(done, ["a", "b"], "left_anti"), "pairs")
-    if pairs.isEmpty():
+    return roots if pairs.isEmpty() else joined(roots, ws.cut(verified(pairs, texts), "links"))
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The groups (node, root) that these links (a, b) make with groups found before, which stand in as links to their roots."""
+    if roots is None:
+        return components(links)
+    if links.isEmpty():
         return roots
-    return components(found.unionByName(ws.cut(verified(pairs, texts), "links")))
+    return components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node of each connected component, for nodes that have an edge.
 
     Large-star and small-star steps in turn: each node's larger neighbours, then its smaller ones, are hung on the least. The
-    edges never grow in number, and the rounds grow as the logarithm of the components' size.
+    edges never grow in number, and the rounds grow as the logarithm of the components' size. They end once all edges are
+    stars. What a step joins with is a table with the number of rows it will meet, so that a head's many neighbours are dealt
+    over many tasks, whether it is less or greater than they, without counting them again.
     """
-    e = ws.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    e, old = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), []
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # a head's many neighbours are dealt over many tasks, whether it is less or greater than they
-        up = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        large = ws.salted_join(up, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = ws.salted_join(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        old, e = e, ws.cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        ws.done(old)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return ws.cut(stars.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+        end = lambda of, other, less: e.select(F.col(of).alias("v"), F.col(other).alias("m"), F.lit(less).alias("less"))  # noqa: B023, E731
+        low = end("u", "v", 1).unionByName(end("v", "u", 0)).groupBy("v")
+        low = low.agg(F.min("m").alias("m"), F.max(F.when(F.col("less") == 1, F.col("m"))).alias("most"), F.sum(1 - F.col("less")).alias("count"))
+        low = ws.cut(low.withColumn("m", F.least("v", "m")), "low")
+        if low.where("most <> m or most is not null and count > 0").isEmpty():
+            ws.done(*old)
+            return low.select(F.col("v").alias("node"), F.col("m").alias("root"))
+        heads = low.where("count > 0")
+        large = ws.cut(ws.salted_join(e, heads.select("v", "m"), "v", "u", counts=heads.select("v", "count")).select("u", F.col("m").alias("v")), "large")
+        least = ws.cut(large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"), F.count("*").alias("count")), "least")
+        hung = least.select("u", F.col("m").alias("v"))
+        if not least.where("m <> most").isEmpty():
+            small = ws.salted_join(large, least.select("u", "m"), "u", "v", counts=least.select("u", "count")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            hung = ws.cut(small.where("u <> v").unionByName(hung).distinct(), "edges")
+        ws.done(*old, low, large)
+        e, old = hung, [least, hung]
 
 
 def classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(ord and node of each row; node, root, class_id and head of each text).
+    """(ord and node of each row; node, count, root, class_id, head and n_texts of each text).
 
-    root is the class, which null or repeated ids do not tell apart. head is its text of least ord, class_id that ord.
+    root is the class, which null or repeated ids do not tell apart. head is its text of least ord, class_id that ord, n_texts
+    the number of its texts, count that of a text's rows.
     """
     ws.small_batches(docs.sparkSession)
     sigs = ws.cut(signed(docs, bands, rows), "signatures")
     roots = link_roots(sigs, docs)
-    of = sigs.groupBy("node").agg(F.min("ord").alias("ord")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = sigs.groupBy("node").agg(F.min("ord").alias("ord"), F.count("*").alias("count")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = ws.cut(of, "rooted")
-    least = of.groupBy("root").agg(F.min(F.struct("ord", "node")).alias("least"))
-    return sigs.select("ord", "node"), ws.salted_join(of, least, "root", "node").select("node", "root", F.col("least.ord").alias("class_id"), F.col("least.node").alias("head"))
+    least = ws.cut(of.groupBy("root").agg(F.min(F.struct("ord", "node")).alias("least"), F.count("*").alias("n_texts")), "least")
+    of = ws.salted_join(of, least, "root", "node", counts=least.select("root", F.col("n_texts").alias("count")))
+    return sigs.select("ord", "node"), of.select("node", "count", "root", F.col("least.ord").alias("class_id"), F.col("least.node").alias("head"), "n_texts")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -305,10 +318,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one, are classes of their own with the same class_id, and n_texts counts each class alone.
     """
     rows, of = classes(docs)
-    sized = ws.cut(of.select("node", "root", "class_id"), "classes")
-    sized = ws.cut(ws.salted_join(sized, sized.groupBy("root").agg(F.count("*").alias("n_texts")), "root", "node"), "sized")
+    sized = ws.cut(of.select("node", "count", "class_id", "n_texts"), "classes")
     back = lambda c: F.when(F.col(c) != ws.MAX_ID, F.col(c)).alias({"ord": "doc_id"}.get(c, c))
-    return ws.salted_join(rows, sized, "node", "ord").select(back("ord"), back("class_id"), "n_texts")
+    return ws.salted_join(rows, sized.drop("count"), "node", "ord", counts=sized.select("node", "count")).select(back("ord"), back("class_id"), "n_texts")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ MAX_ID = 2**63 - 1
 #: Rows in a range of ids, about the least.
 RANGE = 64
 
+#: Lets a write delete its shuffle files as it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Seconds between two collections that release shuffle files.
 SWEEP = 2.0
 _swept = 0.0
@@ -50,8 +52,14 @@ def place(spark: SparkSession, name: str) -> str:
 
 def write_table(df: DataFrame, name: str) -> str:
     """Write df under the shared folder and return its path."""
-    path = place(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    spark = df.sparkSession
+    path, before = place(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # nothing else writes there: tasks put their files in place themselves, not the driver one by one
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return path
 
 
@@ -81,14 +89,17 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread: str, how: st
     """big joined with small (a row or few for each key) where one key may have a great share of big's rows.
 
     Rows of such a key are dealt by ``spread`` over as many tasks as their number asks for, and small's rows of it are sent to
-    each. Which keys these are is counted over all rows: fewer than MANY can be, so their list is broadcast. big is read
-    twice, so it should be a table; counts (key, count) may come from elsewhere.
+    each. Which keys these are is counted over all rows, at once: fewer than MANY can be, so the driver gets their list, and
+    without any the join is a plain one. big is read twice, so it should be a table; counts (key, count) may come from elsewhere.
     """
     counts = counts if counts is not None else big.groupBy(key).count()
-    total = counts.agg(F.sum("count").alias("__all"), F.count("*").alias("__keys"))
+    total = counts.agg(F.sum("count").alias("__all"))
     share = F.greatest(F.lit(1), F.col("__all") / MANY)
     hot = counts.join(F.broadcast(total)).where(F.col("count") > share).select(F.col(key).alias("__hot"), F.ceil(F.col("count") / share).cast("int").alias("__parts"))
     hot = hot.where("__parts > 1")
+    if not (found := hot.collect()):
+        return big.join(small, key, how)
+    hot = big.sparkSession.createDataFrame(found, hot.schema)
     salted = big.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")), F.lit(0)).cast("int"))
     every = small.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
     return salted.drop("__hot", "__parts").join(every.drop("__hot", "__parts"), [key, "__salt"], how).drop("__salt")
